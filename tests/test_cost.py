@@ -1,0 +1,94 @@
+import warnings
+
+import pytest
+from pyspark.sql import functions as F
+
+from evenstep.functions.cost import REGISTRY, Registry, free, model_costs, node_costs, per_input, transform
+from evenstep.functions.dtypes import DTYPES, FLOAT8, SCALE, promote, promoted, scale_of
+from evenstep.functions.polynomial import Polynomial
+from evenstep.plans.queries import CALLS, KNOWN, exported_graph
+from evenstep.sources import graphs, ingest
+from evenstep.sources.graphs import nodes_from
+
+S = (0, 1)
+VALUES = {
+    "gpt3": (39373479, 41695973376, 86149701632), "opt": (246740688, 258173635584, 527380387840), "llama3": (663892070, 688642724864, 1394937178112),
+    "phi4": (854768414, 886304150528, 1794672437248), "mistral3": (1054063718, 1088178492416, 2194008713216),
+    "gemma3": (320705333, 330578026496, 665511837696), "qwen3": (744133894, 770810352640, 1559272433664),
+}
+
+
+def test_models(spark):
+    sums = {r.model: (r.c0, r.c1, r.c2) for r in model_costs(graphs.graph_nodes(spark)).collect()}
+    assert sums == {m: raw for m, (raw, _) in KNOWN.items()}
+
+
+@pytest.mark.parametrize("model", VALUES)
+def test_known_values(model, spark):
+    f = transform(graphs.graph_nodes(spark, model))
+    assert [f(s) for s in (0, 1, 1024, 2048)] == [0, *VALUES[model]]
+    assert f == Polynomial(0, *KNOWN[model][1])
+
+
+def test_all_operators_have_rules():
+    assert len(REGISTRY.rules) == 50 == len(CALLS) == len(set(ingest.OPERATORS.values()))
+
+
+def test_feed_forward(spark):
+    x, w, v = ("BFLOAT16", [S, (4096, 0)]), ("BFLOAT16", [(4096, 0), (4096, 0)]), ("BFLOAT16", [(4096, 0), (1024, 0)])
+    nodes = nodes_from(spark, "m", [("MM", [x, w], x), ("RELU", [x], x), ("MM", [x, v], ("BFLOAT16", [S, (1024, 0)]))])
+    row = model_costs(nodes).first()
+    assert (row.c0, row.c1, row.c2) == (0, 2 * (4096 * 4096 + 4096 + 4096 * 1024), 0)
+    assert transform(nodes.where("false")) == Polynomial()
+
+
+def test_layer_norm_by_hand(spark):
+    args, meta, _ = CALLS["NATIVE_LAYER_NORM"]
+    row = node_costs(nodes_from(spark, "m", [("NATIVE_LAYER_NORM", args, meta)])).select("cost.*").first()
+    assert tuple(row) == (3 * 2 * 4096, (2 * 2 + 4 + 64) * 4096, 0)
+
+
+@pytest.mark.parametrize("op, args", [("MM", [("FLOAT32", [S, (3, 0)]), ("FLOAT32", [(4, 0), (5, 0)])]), ("RELU", []), ("NOPE", []), ("ADD_TENSOR", [])])
+def test_broken_nodes_raise(op, args, spark):
+    nodes = nodes_from(spark, "m", [(op, args, ("FLOAT32", [S]))])
+    with pytest.raises(Exception, match="expected|expects|Cannot find"):
+        node_costs(nodes).select("cost").collect()
+
+
+def test_registry(spark):
+    own = Registry()
+    nodes = nodes_from(spark, "m", [("TWICE", [("INT8", [S])], ("INT8", [S]))])
+    assert own.register("TWICE", per_input(2)) is None
+    assert tuple(node_costs(nodes, own).select("cost.*").first()) == (0, 2, 0)
+    assert own.register("TWICE", free) is not None
+    assert tuple(node_costs(nodes, own).select("cost.*").first()) == (0, 0, 0)
+    assert own.deregister("TWICE") is free and own.deregister("TWICE") is None
+
+
+def test_types(spark):
+    for d in DTYPES:
+        assert promote(d, d) == d
+        for e in DTYPES:
+            assert promote(d, e) == promote(e, d)
+            if d != e and {d, e} & FLOAT8:
+                assert promote(d, e) is None
+    assert promote("UINT64", "FLOAT16") == "FLOAT16" and promote("UINT64", "INT8") is None
+    rows = spark.createDataFrame([(d,) for d in DTYPES], "d string").select("d", scale_of(F.col("d")).alias("s")).collect()
+    assert {r.d: r.s for r in rows} == SCALE
+    with pytest.raises(Exception, match="Unknown data type"):
+        spark.createDataFrame([("COMPLEX",)], "d string").select(scale_of(F.col("d"))).collect()
+    with pytest.raises(Exception, match="No promotion"):
+        spark.createDataFrame([("UINT16", "INT8")], "a string, b string").select(promoted(F.col("a"), F.col("b"))).collect()
+
+
+def test_ingest(spark):
+    exported = exported_graph(spark)
+    with pytest.warns(ingest.UnsupportedOperatorWarning, match="add.Scalar, conv2d.default"):
+        nodes = ingest.ingest(exported)
+    assert [r.target for r in nodes.orderBy("node_id").collect()] == ["MM", "RELU", "ARANGE", "TANH"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        ingest.ingest(exported.where("packet not in ('add', 'conv2d')"))
+    bad = spark.createDataFrame([("m", 0, "overload", "relu", "default", [("QINT8", [S])], ("QINT8", [S]))], ingest.NODE)
+    with pytest.raises(Exception, match="unknown data type"):
+        ingest.ingest(bad, warn=False).collect()

@@ -1,0 +1,88 @@
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from evenstep.functions import polynomial as P
+from evenstep.functions.polynomial import LEAST, MOST, Polynomial
+
+small = st.integers(-1000, 1000)
+polys = st.builds(Polynomial, small, small, small)
+
+
+def test_parallel():
+    p = Polynomial(1, 2, 4)
+    assert p.with_tensor_parallel(2) == Polynomial(1, 1, 4)
+    assert p.with_tensor_parallel(8) == Polynomial(1, 2, 32)
+    assert p.with_context_parallel(2) == Polynomial(1, 2, 2)
+    assert p.with_context_parallel(8) == Polynomial(1, 16, 4)
+    for f in (Polynomial().with_tensor_parallel, Polynomial().with_context_parallel):
+        assert f(8) == Polynomial()
+        with pytest.raises(ValueError):
+            f(0)
+
+
+def test_scalars():
+    p = Polynomial(12, 18, 30)
+    assert p + 3 == 3 + p == Polynomial(15, 18, 30)
+    assert p - 3 == Polynomial(9, 18, 30)
+    assert 3 - p == Polynomial(-9, -18, -30)
+    assert p * 2 == 2 * p == Polynomial(24, 36, 60)
+    assert p / 3 == Polynomial(4, 6, 10)
+    assert p << 2 == Polynomial(48, 72, 120)
+    assert p >> 1 == Polynomial(6, 9, 15)
+    assert Polynomial(-7, 7, 0) / 2 == Polynomial(-3, 3, 0)
+    assert Polynomial(-7, 7, 0) >> 1 == Polynomial(-4, 3, 0)
+
+
+def test_products_are_cut():
+    p = Polynomial(5, 8, 13)
+    assert p * Polynomial(1, 2, 0) == Polynomial(5, 18, 29)
+    assert p * Polynomial(1, 2, 3) == Polynomial(5, 18, 44)
+
+
+@pytest.mark.parametrize(
+    "given_, want",
+    [
+        ((5, 10, 20), (0, 1, 2)), ((0, 0, 0), (0, 0, 0)), ((-1, -2, -4), (0, -1, -2)), ((LEAST, LEAST, LEAST), (0, -1, -1)),
+        ((LEAST, LEAST, 0), (0, -1, 0)), ((0, LEAST, MOST), (0, LEAST, MOST)),
+    ],
+)
+def test_normalized(given_, want, spark):
+    p = Polynomial(*given_)
+    assert p.normalized() == Polynomial(*want)
+    row = spark.createDataFrame([(given_,)], f"p {P.POLY}").select(P.normalize(F.col("p")).alias("p")).first()
+    assert tuple(row.p) == want
+
+
+def test_evaluation():
+    assert [Polynomial(3, 2, 1).normalized()(s) for s in (0, 1, 2)] == [0, 3, 8]
+    with pytest.raises(OverflowError):
+        Polynomial(0, MOST, 0)(2)
+
+
+@given(polys, polys, polys)
+def test_ring(a, b, c):
+    assert a + b == b + a and a * b == b * a
+    assert a * (b + c) == a * b + a * c
+    assert a - a == Polynomial() == a + -a
+
+
+@given(st.integers(0, 1 << 30), st.integers(0, 1 << 30), st.integers(1, 64), st.integers(1, 64))
+def test_parallel_is_a_ratio(c1, c2, tp, cp):
+    scaled = Polynomial(0, c1, c2).with_tensor_parallel(tp).with_context_parallel(cp).normalized()
+    assert scaled == Polynomial(0, c1 * cp, c2 * tp).normalized()
+
+
+def test_gcd(spark):
+    pairs = [(12, 18, 6), (6, 10, 2), (-6, 10, 2), (24, 0, 24), (0, 0, 0), (7, 1, 1), (LEAST, 0, 1 << 63), (LEAST, LEAST, 1 << 63), (LEAST, MOST, 1), (MOST, MOST, MOST)]
+    for a, b, d in pairs:
+        assert P.gcd(a, b) == P.gcd(b, a) == d
+    rows = spark.createDataFrame([p[:2] for p in pairs], "a long, b long").select(P.gcd_column(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [int(r.d) for r in rows] == [d for _, _, d in pairs]
+
+
+def test_overflow_is_an_error(spark):
+    df = spark.createDataFrame([((0, MOST, 0),)], f"p {P.POLY}")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        df.select(P.evaluate(F.col("p"), F.lit(2).cast("bigint"))).collect()

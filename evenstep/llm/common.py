@@ -2,58 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_DEFAULT = "/tmp/checkpoints/evenstep"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master may lack the setting; it then gets a folder of this machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{LOCAL_DEFAULT}"
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder; the whole application's folder goes when the driver ends."""
-    root = f"{shared_dir(spark)}/evenstep-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
-
-
-_ROOTS: set[str] = set()
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from evenstep.storage import shared_dir, work_path, written
 
+__all__ = ["doc_texts", "open_shared", "per_batch", "shared_dir", "small_batches", "work_path", "written"]
 
 def open_shared(path: str):
     """(file system, path in it) of a path below the shared folder, usable on driver and executors."""
@@ -72,7 +30,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most_
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = have = 0
         for i, n in enumerate(sizes):
             if have and have + (n or 0) > most_bytes:

@@ -259,8 +259,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, s
     prints = written(fingerprint_documents(docs, width, seed, text, key), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     roots = connected_components(links(distinct, radius, tile))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    # each side of a join on a key with many rows is a table, so that Spark can split the key
+    joined = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked-prints")
+    least = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     linked = joined.join(least, "root").select("fp", "component_id")
-    of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

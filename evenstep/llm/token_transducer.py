@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -329,6 +330,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     def run(batch):
         texts = batch.column(1)
         tokens = token_counter(path).counts(texts.to_pylist())
-        return pa.record_batch([batch.column(0), pa.compute.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        return pa.record_batch([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return per_batch(doc_texts(docs, text, key), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

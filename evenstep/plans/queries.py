@@ -137,26 +137,25 @@ def _pairs(spark, sf_dir):
 _PAIRS = """WITH p AS (SELECT o_orderkey, o_orderkey * 7 % 41 - 20 AS a0, o_orderkey * 11 % 53 - 26 AS a1, o_orderkey * 13 % 61 - 30 AS a2,
   o_orderkey * 17 % 37 - 18 AS b0, o_orderkey * 19 % 43 - 21 AS b1, o_orderkey * 23 % 47 - 23 AS b2 FROM orders)
 SELECT o_orderkey, CAST({} AS BIGINT) AS c0, CAST({} AS BIGINT) AS c1, CAST({} AS BIGINT) AS c2 FROM p"""
-_A, _B = F.col("a"), F.col("b")
 _EACH = lambda f: [f.format(c) for c in ("a0", "a1", "a2")]
 ALGEBRA = {
-    "add": (lambda: P.add(_A, _B), ["a0 + b0", "a1 + b1", "a2 + b2"]),
-    "sub": (lambda: P.subtract(_A, _B), ["a0 - b0", "a1 - b1", "a2 - b2"]),
-    "mul": (lambda: P.multiply(_A, _B), ["a0 * b0", "a0 * b1 + a1 * b0", "a0 * b2 + a1 * b1 + a2 * b0"]),
-    "neg": (lambda: P.negate(_A), _EACH("-{}")),
-    "add_scalar": (lambda: P.add_scalar(_A, 3), ["a0 + 3", "a1", "a2"]),
-    "scale": (lambda: P.scale(_A, 5), _EACH("{} * 5")),
-    "div": (lambda: P.divide(_A, 4), _EACH("sign({0}) * (abs({0}) // 4)")),
-    "shl": (lambda: P.shift_left(_A, 2), _EACH("{} * 4")),
-    "shr": (lambda: P.shift_right(_A, 1), _EACH("floor({} / 2.0)")),
-    "tensor_parallel": (lambda: P.tensor_parallel(_A, 2), ["a0", "CASE WHEN a1 % 2 = 0 THEN a1 / 2 ELSE a1 END", "CASE WHEN a1 % 2 = 0 THEN a2 ELSE a2 * 2 END"]),
-    "context_parallel": (lambda: P.context_parallel(_A, 2), ["a0", "CASE WHEN a2 % 2 = 0 THEN a1 ELSE a1 * 2 END", "CASE WHEN a2 % 2 = 0 THEN a2 / 2 ELSE a2 END"]),
-    "normalize": (lambda: P.normalize(_A), ["0", "CASE WHEN gcd(a1, a2) = 0 THEN 0 ELSE a1 / gcd(a1, a2) END", "CASE WHEN gcd(a1, a2) = 0 THEN 0 ELSE a2 / gcd(a1, a2) END"]),
+    "add": (lambda a, b: P.add(a, b), ["a0 + b0", "a1 + b1", "a2 + b2"]),
+    "sub": (lambda a, b: P.subtract(a, b), ["a0 - b0", "a1 - b1", "a2 - b2"]),
+    "mul": (lambda a, b: P.multiply(a, b), ["a0 * b0", "a0 * b1 + a1 * b0", "a0 * b2 + a1 * b1 + a2 * b0"]),
+    "neg": (lambda a, b: P.negate(a), _EACH("-{}")),
+    "add_scalar": (lambda a, b: P.add_scalar(a, 3), ["a0 + 3", "a1", "a2"]),
+    "scale": (lambda a, b: P.scale(a, 5), _EACH("{} * 5")),
+    "div": (lambda a, b: P.divide(a, 4), _EACH("sign({0}) * (abs({0}) // 4)")),
+    "shl": (lambda a, b: P.shift_left(a, 2), _EACH("{} * 4")),
+    "shr": (lambda a, b: P.shift_right(a, 1), _EACH("floor({} / 2.0)")),
+    "tensor_parallel": (lambda a, b: P.tensor_parallel(a, 2), ["a0", "CASE WHEN a1 % 2 = 0 THEN a1 / 2 ELSE a1 END", "CASE WHEN a1 % 2 = 0 THEN a2 ELSE a2 * 2 END"]),
+    "context_parallel": (lambda a, b: P.context_parallel(a, 2), ["a0", "CASE WHEN a2 % 2 = 0 THEN a1 ELSE a1 * 2 END", "CASE WHEN a2 % 2 = 0 THEN a2 / 2 ELSE a2 END"]),
+    "normalize": (lambda a, b: P.normalize(a), ["0", "CASE WHEN gcd(a1, a2) = 0 THEN 0 ELSE a1 / gcd(a1, a2) END", "CASE WHEN gcd(a1, a2) = 0 THEN 0 ELSE a2 / gcd(a1, a2) END"]),
 }
 
 
 def _algebra(spark, sf_dir, name):
-    return _pairs(spark, sf_dir).select("o_orderkey", ALGEBRA[name][0]().alias("p")).select("o_orderkey", "p.c0", "p.c1", "p.c2")
+    return _pairs(spark, sf_dir).select("o_orderkey", ALGEBRA[name][0](F.col("a"), F.col("b")).alias("p")).select("o_orderkey", "p.c0", "p.c1", "p.c2")
 
 
 for _name, (_, _cs) in ALGEBRA.items():

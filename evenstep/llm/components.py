@@ -63,8 +63,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round gives every node's larger neighbours to its least neighbour, then every node's
     smaller ones, until nothing changes; the number of rounds grows with the logarithm of the
-    longest path. Least neighbours come from partial aggregates and go back by joins that
-    Spark splits where a node has very many edges. Each round is written out.
+    longest path. Least neighbours come from partial aggregates, are written, and go back by
+    joins of two tables, which Spark splits where a node has very many edges.
     """
     stars = written(local_stars(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -74,10 +74,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = seen
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         down = written(down, "large-star")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         stars = written(small.where("a <> b").distinct(), "small-star")

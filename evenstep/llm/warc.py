@@ -127,6 +127,8 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, key: str = "pag
     rows = rows.withColumn("sha256", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
     long = rows.where(F.octet_length("html") >= least)
     groups = long.groupBy("sha256").agg(F.max("page_id").alias("origin"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha256", "origin")
+    # a table, so that Spark can split the pages of a payload with very many copies
+    groups = written(groups, "payload-groups")
     whole = rows.join(groups, "sha256", "left").select("page_id", "url", "html", (F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin"))).alias("revisits"), "origin")
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -87,18 +87,21 @@ def _as_batch(rows: list[np.ndarray], pos, idx, sizes, costs) -> pa.RecordBatch:
 
 def _groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator[np.ndarray]:
     """Columns (group, pos, idx, size, cost) of sorted rows, in pieces of whole groups."""
-    held = np.zeros((5, 0), np.int64)
+    held: list[np.ndarray] = []
+    rows = 0
     for batch in batches:
-        new = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        held = np.concatenate([held, new], 1)
-        if held.shape[1] < least:
+        if not batch.num_rows:
             continue
-        change = np.flatnonzero(np.diff(held[0]))
-        if len(change):
-            yield held[:, : change[-1] + 1]
-            held = held[:, change[-1] + 1 :]
-    if held.shape[1]:
-        yield held
+        new = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        if rows >= least:
+            same = int(np.searchsorted(new[0], held[-1][0, -1], "right"))  # rows of the group that is open
+            if same < new.shape[1]:
+                yield np.concatenate([*held, new[:, :same]], 1)
+                held, rows, new = [], 0, new[:, same:]
+        held.append(new)
+        rows += new.shape[1]
+    if held:
+        yield np.concatenate(held, 1)
 
 
 def _cut(group: np.ndarray) -> list[tuple[int, int]]:
@@ -147,13 +150,13 @@ def _unstable(rows: DataFrame, n: int, batch: Batching, first_step: int, most_it
     key = "size" if batch.by_size else "cost"
     batches_n = n // each
     dealt = min(-(-n // most_items), batches_n)
-    # every dealt-th item of the sorted order: the parts have nearly the same sizes
+    # each round of the sorted order gives an item to every batch; rounds run to and fro over the parts
     ordered = with_position(rows, key, "size", "idx", "pos", name="place") if dealt > 1 else rows.withColumn("place", F.lit(0).cast("long"))
-    # the parts' shares of batches differ by one at most; items are dealt in rounds of one batch of each part
-    part = F.pmod(F.col("place"), F.lit(dealt)) if batches_n % dealt == 0 else F.pmod(F.call_function("div", F.pmod(F.col("place"), F.lit(batches_n)) * dealt, F.lit(batches_n)), F.lit(dealt))
+    turn, slot = F.call_function("div", F.col("place"), F.lit(batches_n).cast("long")), F.pmod("place", F.lit(batches_n).cast("long"))
+    part = F.pmod(F.when(turn % 2 == 1, batches_n - 1 - slot).otherwise(slot), F.lit(dealt).cast("long"))
 
     def run(pieces):
-        for part_no, pos, idx, sizes, costs in _groups(pieces, 1 << 62):
+        for part_no, pos, idx, sizes, costs in _groups(pieces):
             for a, b in _cut(part_no):
                 share = (sizes if batch.by_size else costs)[a:b]
                 order = a + np.lexsort((pos[a:b], idx[a:b], sizes[a:b], share))

@@ -404,14 +404,13 @@ def drop_last_batches(spark, sf_dir):
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT CAST(sum(len(embedding)) AS BIGINT) AS numbers, count(*) AS vectors FROM embeddings")
+@_query("SELECT CAST(sum(len(embedding)) AS BIGINT) AS numbers, CAST(ceil(count(*) / 16.0) * 4 AS BIGINT) AS batches FROM embeddings")
 def load_batches(spark, sf_dir):
-    """A schedule's batches with their data: as many numbers as the samples have."""
+    """A schedule's batches (four samples of each of four ranks) with their data."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
     samples = vectors.select("idx", F.size("embedding").cast("bigint").alias("size"))
-    plan = Sampler(samples, GPT3, R, 64, 4, unstable=False).schedule()
-    loaded = C.load(plan, vectors, "embedding")
-    return loaded.agg(F.sum(F.size("embedding")).cast("bigint").alias("numbers")).crossJoin(plan.agg(F.count(F.lit(1)).alias("vectors")))
+    loaded = C.load(Sampler(samples, GPT3, R, 64, 4, unstable=False).schedule(), vectors, "embedding")
+    return loaded.agg(F.sum(F.size("embedding")).cast("bigint").alias("numbers"), F.count(F.lit(1)).alias("batches"))
 
 
 # ingestion

@@ -1,9 +1,11 @@
+import functools
 import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from evenstep.plans import queries as plans
 from evenstep.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,6 +19,15 @@ def con(sf):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def schedules_are_made_once():
+    """Many queries look at the same six schedules."""
+    made = plans._scheduled
+    plans._scheduled = functools.lru_cache(None)(lambda *args: made(*args).cache())
+    yield
+    plans._scheduled = made
+
+
 def plain(v):
     if isinstance(v, float):
         return round(v, 6)

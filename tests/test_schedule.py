@@ -61,10 +61,13 @@ def samples(spark, n, seed=0):
     return spark.createDataFrame([(i, int(s)) for i, s in enumerate(log_uniform(n, seed))], "idx long, size long")
 
 
-@pytest.mark.parametrize("stable", [True, False])
-@pytest.mark.parametrize("policy", POLICIES)
-@pytest.mark.parametrize("n, ranks, glob, micro", [(1024, 4, 64, 4), (1000, 4, 64, 3), (103, 3, 24, 16), (40, 1, 16, 5), (6, 2, 64, 4)])
-def test_schedules(spark, stable, policy, n, ranks, glob, micro):
+CASES = [(1000, 4, 64, 3, p, a) for p in POLICIES for a in (True, False)] + [
+    (1024, 4, 64, 4, "joint", False), (103, 3, 24, 16, "mem", True), (103, 3, 24, 16, "joint", False), (40, 1, 16, 5, "fast", False), (6, 2, 64, 4, "mem", False), (6, 2, 64, 4, "joint", True),
+]
+
+
+@pytest.mark.parametrize("n, ranks, glob, micro, policy, stable", CASES)
+def test_schedules(spark, n, ranks, glob, micro, policy, stable):
     sampler = Sampler(samples(spark, n), GPT3, ranks, glob, micro, unstable=not stable, policy=policy)
     rows = sampler.schedule().cache()
     found = rows.collect()

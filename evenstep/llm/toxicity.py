@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from math import log
 
 import numpy as np
@@ -24,7 +23,7 @@ from evenstep.llm.simhash import shingle_hashes
 
 THRESHOLD = 0.7
 #: Bounds of the labelled sample that the field is fitted on: rows of either label, and bytes of a row.
-TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 2000, 6000, 100_000
+TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1500, 3500, 100_000
 #: Lengths of the beginnings of words that are features beside the words.
 PREFIXES = (3, 4, 5, 6, 7)
 MOST_FEATURES = 20_000
@@ -43,13 +42,12 @@ def token_features(word: str) -> list[str]:
     return [f"w:{word}", *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n)] if word else []
 
 
-def beyond_doubt(k: int, n: int, base: float, tests: int) -> bool:
+def beyond_doubt(k: np.ndarray, n: np.ndarray, base: float, tests: int) -> np.ndarray:
     """Whether k toxic of n documents can't be chance at this base rate, by Chernoff's bound over all tests."""
-    share = k / n
-    if share < max(0.8, base) or share <= base:
-        return False
-    apart = share * log(share / base) + (0 if share == 1 else (1 - share) * log((1 - share) / (1 - base)))
-    return n * apart > log(tests / 0.01)
+    share = k / np.maximum(n, 1)
+    rest = np.where(share < 1, (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0.0)
+    apart = share * np.log(np.maximum(share, 1e-12) / base) + rest
+    return (k >= 3) & (share >= max(0.8, base)) & (share > base) & (n * apart > log(tests / 0.01))
 
 
 class Field:
@@ -155,51 +153,63 @@ def copy_groups(texts: list[str], bands: int = 8) -> list[int]:
 
 def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 0.2, ridge: float = 1e-3, seed: int = 7) -> Field:
     """A field from (text, toxic) rows; one that finds nothing if labels or marks are missing."""
-    cores: dict[str, str] = {}
-    words = [[cores[t] if t in cores else cores.setdefault(t, core(t)) for t in text.split()] for text, _ in rows]
-    of_word = {w: token_features(w) for w in set(cores.values())}
-    groups: dict[tuple[int, int], set[str]] = {}
-    for g, own, (_, toxic) in zip(copy_groups([t for t, _ in rows]), words, rows, strict=True):
-        groups.setdefault((g, toxic), set()).update(own)
-    toxic_in, clean_in = Counter(), Counter()
-    for (_, toxic), own in groups.items():
-        (toxic_in if toxic else clean_in).update({f for w in own for f in of_word[w]})
+    vocabulary: dict[str, int] = {}
+    texts = [np.fromiter((vocabulary.setdefault(core(t), len(vocabulary)) for t in text.split()), np.int32) for text, _ in rows]
+    groups: dict[tuple[int, int], list[np.ndarray]] = {}
+    for g, own, (_, toxic) in zip(copy_groups([t for t, _ in rows]), texts, rows, strict=True):
+        groups.setdefault((g, toxic), []).append(own)
     n_toxic = sum(toxic for _, toxic in groups)
     if not n_toxic or n_toxic == len(groups):
         return Field()
     base = n_toxic / len(groups)
-    candidates = [f for f, k in toxic_in.items() if k >= 3 and k >= 2 * base * (k + clean_in[f])]
-    sure = {f for f in candidates if beyond_doubt(toxic_in[f], toxic_in[f] + clean_in[f], base, len(toxic_in))}
-    if not sure:
-        return Field()
-    marked = {w for w, fs in of_word.items() if not sure.isdisjoint(fs)}
-    own = {f for w in marked for f in of_word[w]}
-    ranked = sorted(own, key=lambda f: (-toxic_in[f], f))
-    number = {f: i + 1 for i, f in enumerate(ranked[:MOST_FEATURES])}  # 0 stands for none
+    # features by word: numbers for those of toxic documents, -1 for others
     width = len(PREFIXES) + 1
-    of = {}
-    for w, fs in of_word.items():
-        found = [number[f] for f in fs if f in number]
-        of[w] = found + [0] * (width - len(found))
-    some = {w for w, found in of.items() if found[0]}
+    in_toxic = np.zeros(len(vocabulary), bool)
+    for own, (_, toxic) in zip(texts, rows, strict=True):
+        if toxic:
+            in_toxic[own] = True
+    numbers: dict[str, int] = {}
+    of = np.full((len(vocabulary), width), -1, np.int32)
+    for only_known in (False, True):
+        for word, i in vocabulary.items():
+            if in_toxic[i] != only_known:
+                found = token_features(word)
+                of[i, : len(found)] = [numbers.get(f, -1) for f in found] if only_known else [numbers.setdefault(f, len(numbers)) for f in found]
+    seen_in = np.zeros((2, len(numbers) + 1), np.int64)  # the last stands for none
+    for (_, toxic), own in groups.items():
+        seen_in[toxic, np.unique(of[np.unique(np.concatenate(own))])] += 1
+    k, n = seen_in[1, :-1], seen_in[:, :-1].sum(0)
+    sure = np.append(beyond_doubt(k, n, base, max(len(numbers), 1)), False)
+    marked = sure[of].any(1)
+    if not marked.any():
+        return Field()
+    own = np.unique(of[marked])
+    own = own[own >= 0]
+    own = own[np.lexsort((own, -k[own]))][:MOST_FEATURES]
+    number = np.zeros(len(numbers) + 1, np.int64)  # 0 stands for none
+    number[own] = np.arange(1, len(own) + 1)
+    names = {i: f for f, i in numbers.items() if number[i]}
+    of = number[of]
+    alike_word = (of > 0).any(1) & ~marked
     rng = np.random.default_rng(seed)
     x, y = [], []
-    for tokens, (_, toxic) in zip(words, rows, strict=True):
-        if not tokens:
+    none = np.zeros((SPAN, width), np.int64)
+    for own, (_, toxic) in zip(texts, rows, strict=True):
+        if not len(own):
             continue
-        marks = [i for i, w in enumerate(tokens) if toxic and w in marked]
-        picked = marks if len(marks) <= 2 else rng.choice(marks, 2, replace=False).tolist()
+        is_mark = marked[own]
+        marks = np.flatnonzero(is_mark) if toxic else np.zeros(0, np.int64)
         # words that only share a beginning with marked ones must learn to be plain
-        alike = [i for i, w in enumerate(tokens) if w in some and not (toxic and w in marked)]
-        alike = alike if len(alike) <= 4 else rng.choice(alike, 4, replace=False).tolist()
-        for i in [*picked, *alike, int(rng.integers(len(tokens)))]:
-            a = max(0, min(i - int(rng.integers(SPAN)), len(tokens) - SPAN))
-            span = tokens[a : a + SPAN]
-            x.append([of[w] for w in span] + [[0] * width] * (SPAN - len(span)))
-            y.append([int(toxic and w in marked) for w in span] + [-1] * (SPAN - len(span)))
-    x, y = np.array(x, np.int64), np.array(y, np.int8)
+        alike = np.flatnonzero(alike_word[own] | (is_mark & (not toxic)))
+        picked = rng.permutation(marks)[:2].tolist() + rng.permutation(alike)[:4].tolist() + [int(rng.integers(len(own)))]
+        for i in picked:
+            a = max(0, min(i - int(rng.integers(SPAN)), len(own) - SPAN))
+            span = own[a : a + SPAN]
+            x.append(np.concatenate([of[span], none[len(span) :]]))
+            y.append(np.concatenate([(is_mark[a : a + SPAN] & bool(toxic)).astype(np.int8), np.full(SPAN - len(span), -1, np.int8)]))
+    x, y = np.stack(x), np.stack(y)
     mask = y >= 0
-    weights, moves, bias = np.zeros(len(number) + 1), np.zeros((2, 2)), -3.0
+    weights, moves, bias = np.zeros(len(names) + 1), np.zeros((2, 2)), -3.0
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros(5), np.zeros(5)]
     total = mask.sum()
     for r in range(1, rounds + 1):
@@ -219,7 +229,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 0.2, ridge
         weights[0] = 0
         moves += steps[1][:4].reshape(2, 2)
         bias += steps[1][4]
-    return Field({f: float(weights[i]) for f, i in number.items()}, float(bias), moves)
+    return Field({f: float(weights[number[i]]) for i, f in names.items()}, float(bias), moves)
 
 
 def _expectations(emit: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

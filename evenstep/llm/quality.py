@@ -102,31 +102,33 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(k + 1)))
 
 
-def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float, near_best: float = 0.98) -> int | None:
+def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float, near_best: float = 0.98, worth: float = 10.0) -> int | None:
     """The cutoff for counts of good and bad holdouts by step; None if none is certain or useful.
 
     Cutoffs are tested from the laxest on and testing ends with the first that fails, so each
     test may use all of delta. A cutoff passes if the exact upper bound of the share of good
-    documents above it is at most alpha. Of those, the laxest that catches near_best of the bad
-    documents that the strictest catches, in the middle of the empty steps below it.
+    documents above it is at most alpha. A rule must also be worth its errors: of the cutoffs
+    that passed and catch `worth` bad documents for each good one, the laxest is taken that
+    catches near_best of what the best of them does.
     """
     n = int(good.sum())
     if not n:
         return None
     above = lambda x: np.append(np.cumsum(x[::-1])[::-1][1:], 0)
     good_above, bad_above = above(good), above(bad)
-    last, result = None, {}
+    passed, result = [], {}
     for c in range(len(good) - 1, -1, -1):
         k = int(good_above[c])
         if k not in result:
             result[k] = k < n and at_most(k, n, alpha) <= delta
         if not result[k]:
             break
-        last = c
-    if last is None or not bad_above[last]:
+        if bad_above[c] >= worth * max(k, 1):
+            passed.append(c)
+    if not passed:
         return None
-    want = near_best * bad_above[last]
-    return max(c for c in range(last, len(good)) if bad_above[c] >= want)
+    want = near_best * max(bad_above[c] for c in passed)
+    return max(c for c in passed if bad_above[c] >= want)
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:

@@ -196,11 +196,14 @@ def test_chosen_cutoffs_hold_their_risk():
     for _ in range(200):
         good = np.bincount(np.minimum(rng.geometric(0.05, 3000), 100), minlength=101)
         bad = np.bincount(rng.integers(20, 101, 500), minlength=101)
-        c = quality.choose(good, bad, 0.01, 0.05, near_best=1.0)
+        c = quality.choose(good, bad, 0.01, 0.05, near_best=1.0, worth=0)
         if c is not None:
             used += 1
             broken += 0.95**c > 0.01
     assert used > 100 and broken <= 0.08 * used
+    good, bad = np.array([5000, 0, 2, 0]), np.array([0, 0, 0, 15])
+    assert quality.choose(good, bad, 0.01, 0.05) == 2  # the two good documents are not worth rejecting
+    assert quality.choose(np.array([5000, 0, 0, 2]), bad, 0.01, 0.05) is None
     assert quality.choose(np.zeros(5, int), np.ones(5, int), 0.01, 0.05) is None
     assert quality.choose(np.array([100, 0, 0]), np.array([0, 0, 50]), 0.01, 0.05) is None  # too few to be certain
 

@@ -82,7 +82,8 @@ def name_documents(docs: DataFrame, block: int = BLOCK, text: str = "text", key:
         raise ValueError("two blocks share a handle; choose another block size")
     places = rows.select("rid", F.posexplode("handles").alias("pos", "handle"))
     uses = places.groupBy("handle").agg(F.count(F.lit(1)).alias("uses"))
-    named = places.join(names.join(uses, "handle"), "handle")
+    # written, as are the groups below: Spark can split a hot key where both sides of a join are tables
+    named = places.join(written(names.join(uses, "handle"), "block-uses"), "handle")
     lists = named.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("at"), F.min("uses").alias("uses"), F.min_by("name", F.struct("uses", "pos")).alias("first"))
     lists = written(lists.select("rid", "uses", "first", F.transform("at", lambda x: x["name"]).alias("names")), "names-0")
     alone = lists.where("uses = 1").select("rid", F.concat(F.lit("b"), F.col("first").cast("string")).alias("identity"))
@@ -108,7 +109,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, text: str = "text", ke
     named = written(name_documents(docs, block, text, key), "identities")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
     groups = named.where("identity like 't%'").groupBy("identity").agg(F.count(F.lit(1)).alias("group_size"), least)
-    groups = groups.select("identity", "group_size", F.col("least.doc_id").alias("least_id"), F.col("least.rid").alias("least_rid"))
+    groups = written(groups.select("identity", "group_size", F.col("least.doc_id").alias("least_id"), F.col("least.rid").alias("least_rid")), "groups")
     many = named.where("identity like 't%'").join(groups, "identity").select("doc_id", F.col("least_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("least_rid")).alias("kept"), "text_sha256")
     one = named.where("identity like 'b%'").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return one.unionByName(many)

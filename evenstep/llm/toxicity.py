@@ -25,7 +25,7 @@ THRESHOLD = 0.7
 #: Bounds of the labelled sample that the field is fitted on: rows of either label, and bytes of a row.
 TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1500, 3500, 100_000
 #: Lengths of the beginnings of words that are features beside the words.
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 MOST_FEATURES = 20_000
 SPAN = 16
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -73,11 +73,11 @@ class Field:
         potentials = np.exp(np.stack([np.zeros(len(adds)), np.clip(self.bias + np.array(adds), -40, 40)], 1))
         move, plain = np.exp(self.moves), np.exp([0.0, self.bias])
         step = move * plain  # from a label over one plain token
-        forward, message, at = [], np.ones(2) / 2, 0
+        forward, message, at = [], plain / plain.sum(), 1  # the first token has no label before it
         for p, e in zip(places, potentials, strict=True):
             message = self._over(message, step, p - at) if p > at else message
-            message = (message @ move if p else message) * e
-            message /= message.sum()
+            message = message @ move * e if p else e
+            message = message / message.sum()
             forward.append(message)
             at = p + 1
         message, at = np.ones(2), n
@@ -208,6 +208,10 @@ def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 0.2, ridge
             x.append(np.concatenate([of[span], none[len(span) :]]))
             y.append(np.concatenate([(is_mark[a : a + SPAN] & bool(toxic)).astype(np.int8), np.full(SPAN - len(span), -1, np.int8)]))
     x, y = np.stack(x), np.stack(y)
+    # some places show only a beginning of their word, so that weights go to what words have in common
+    shown = rng.integers(2, width + 1, x.shape[:2])[:, :, None]
+    order = np.arange(width)[None, None]  # the whole word, then its beginnings
+    x = np.where((order < shown) & ((order > 0) | (shown == width)), x, 0)
     mask = y >= 0
     weights, moves, bias = np.zeros(len(names) + 1), np.zeros((2, 2)), -3.0
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros(5), np.zeros(5)]

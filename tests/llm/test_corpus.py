@@ -245,7 +245,7 @@ def plain_marginals(field, tokens):
 @given(st.lists(st.sampled_from(["plain", "bad", "worse", "so"]), min_size=1, max_size=9), st.floats(-3, 1), st.integers(0, 100))
 def test_marginals(tokens, bias, seed):
     moves = np.random.default_rng(seed).normal(size=(2, 2))
-    field = toxicity.Field({"w:bad": 2.0, "3:wor": 1.0, "w:worse": 1.5}, bias, moves)
+    field = toxicity.Field({"w:bad": 2.0, "4:wors": 1.0, "w:worse": 1.5}, bias, moves)
     hits = [(i, e) for i, t in enumerate(tokens) if (e := field.emission(t)) is not None]
     if hits:
         got = field.marginals([i for i, _ in hits], [e for _, e in hits], len(tokens))

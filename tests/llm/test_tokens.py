@@ -45,20 +45,20 @@ def ids_of(path):
 
 def test_word_encoder(texts):
     own, library, want = bpe.WordEncoder(WORD), Tokenizer.from_file(WORD), ids_of(WORD)
-    lists = [own.chunks(t) for t in texts]
-    own.learn(lists)
-    for t, chunks in zip(texts, lists, strict=True):
+    at, chunks = own.places(texts)
+    flat, bounds = own.gather(at, chunks)
+    for k, t in enumerate(texts):
         ids = want(t)
-        assert own.ids(chunks).tolist() == ids
-        assert own.decode(chunks) == own.decode_ids(ids) == library.decode(ids, skip_special_tokens=False)
+        assert flat[bounds[k] : bounds[k + 1]].tolist() == ids
+        assert own.decode(at[chunks[k] : chunks[k + 1]]) == own.decode_ids(ids) == library.decode(ids, skip_special_tokens=False)
+    ended, bounds = own.encode_batch(texts, 1)
+    assert [ended[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*want(t), 1] for t in texts]
 
 
 def test_word_encoder_forgets(texts):
     own, want = bpe.WordEncoder(WORD, most=50), ids_of(WORD)
-    for t in texts[:200]:
-        chunks = own.chunks(t)
-        own.learn([chunks])
-        assert own.ids(chunks).tolist() == want(t)
+    for t in texts[:200] + texts[:200]:
+        assert own.encode_batch([t])[0].tolist() == want(t)
 
 
 def slow_merges(symbols, ranks):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -51,6 +52,7 @@ class MergeTable:
         # of a pair that is listed twice the later rank holds, as in a map filled in order
         keep = np.append(keys[order][1:] != keys[order][:-1], True) if len(order) else np.zeros(0, bool)
         self.order = order[keep]
+        self.base = np.unique(np.concatenate([self.inner, self.last]))
         self.keys, self.ranks, self.made = keys[self.order], self.order.astype(np.int64), made[self.order]
         born = {}
         self.steady = True
@@ -58,29 +60,38 @@ class MergeTable:
             if c in born or born.get(a, -1) >= rank or born.get(b, -1) >= rank:
                 self.steady = False
             born[c] = rank
+        # what the binary search gives for pairs of single bytes, looked up once
+        self.place_of = np.full(int(self.base[-1]) + 1, -1, np.int64)
+        self.place_of[self.base[self.base >= 0]] = np.flatnonzero(self.base >= 0)
+        grid = self.base[:, None] << SHIFT | self.base[None, :]
+        self.base_rank, self.base_made = np.full(grid.shape, NO_RANK), np.zeros(grid.shape, np.int64)
+        hit, place = self.find(grid.ravel())
+        self.base_rank.ravel()[hit], self.base_made.ravel()[hit] = self.ranks[place], self.made[place]
         self.pairs = list(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and where each word's ids start (one entry more than words).
+        """Ids of all words in a row, and where each word's ids start (one entry more than words)."""
+        return self.encode_flat(b"".join(words), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def encode_flat(self, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of words that stand one after the other in data.
 
         An empty word has no ids. Where merges are steady (a merge never makes a pair of lower
         rank) all places of a word's lowest pair merge in one round, else the leftmost alone.
         """
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        raw = np.frombuffer(data, np.uint8)
         ends = np.cumsum(lengths)
         symbols = self.inner[raw]
         full = lengths > 0
         symbols[ends[full] - 1] = self.last[raw[ends[full] - 1]]
-        owner = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         known = symbols >= 0  # bytes without a symbol are dropped
         if not known.all():
             symbols, owner = symbols[known], owner[known]
         done_symbols, done_owner = [], []
-        rank, made = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
-        self._pairs(symbols, owner, rank, made, np.arange(len(symbols)))
+        rank, made = self._first_pairs(symbols, owner)
         while len(symbols):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             least = np.minimum.reduceat(rank, starts)
@@ -104,18 +115,34 @@ class MergeTable:
         ids = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
         of = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
         ids = ids[np.argsort(of, kind="stable")]
-        return ids.astype(np.uint32), np.append(0, np.cumsum(np.bincount(of, minlength=len(words))))
+        return ids.astype(np.uint32), np.append(0, np.cumsum(np.bincount(of, minlength=len(lengths))))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pair keys are merges, by binary search, and the merges' places."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[place] == key)
+        return hit, place[hit]
+
+    def _first_pairs(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of the pair of bytes that begins at each place."""
+        rank, made = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
+        if len(symbols) > 1:
+            at = self.place_of[symbols]
+            same = owner[1:] == owner[:-1]
+            rank[:-1] = np.where(same, self.base_rank[at[:-1], at[1:]], NO_RANK)
+            made[:-1] = self.base_made[at[:-1], at[1:]]
+        return rank, made
 
     def _pairs(self, symbols: np.ndarray, owner: np.ndarray, rank: np.ndarray, made: np.ndarray, at: np.ndarray) -> None:
         """Sets rank and result of the pairs that begin at the places `at`; NO_RANK where none does."""
         rank[at] = NO_RANK
         at = at[at + 1 < len(symbols)]
         at = at[owner[at + 1] == owner[at]]
-        if len(self.keys) and len(at):
-            key = symbols[at] << SHIFT | symbols[at + 1]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[place] == key
-            rank[at[hit]], made[at[hit]] = self.ranks[place[hit]], self.made[place[hit]]
+        if len(at):
+            hit, place = self.find(symbols[at] << SHIFT | symbols[at + 1])
+            rank[at[hit]], made[at[hit]] = self.ranks[place], self.made[place]
 
     def _apart(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Of places that overlap (a a a) every second one from the left; or the leftmost per word."""
@@ -129,11 +156,12 @@ class MergeTable:
 class WordEncoder:
     """Texts to ids for a vocabulary of lower-cased words whose white space is dropped.
 
-    A text splits at white space into chunks; no token crosses one. A chunk's ids are found
-    once and kept, up to `most` chunks, after which the memory starts anew.
+    A text splits at white space into chunks; no token crosses one. A chunk's ids are kept
+    when it comes a second time. After `most` chunks a new memory begins, which takes over what is used again
+    from the one before; the one before that is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 700_000, decodes: bool = True):
+    def __init__(self, path: str, most: int = 400_000, decodes: bool = True):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -144,27 +172,34 @@ class WordEncoder:
         library.no_padding()
         self.normalizer, self.pre = library.normalizer, library.pre_tokenizer
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split)
+        self.words = regex.compile(f"{split}|\n")
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.table.special, key=len, reverse=True)))) if self.table.special else None
         self.bytes_of = {c: b for b, c in enumerate(byte_characters())}
         self.most, self.decodes = most, decodes
         self.reset()
 
     def reset(self) -> None:
+        """A new memory; the one until now becomes the old one."""
+        self.old = (self.index, self.starts, self.sizes, self.pool) if hasattr(self, "index") else ({}, *[np.zeros(0, np.int64)] * 3)
         self.index: dict[str, int] = {}
+        self.passing: dict[str, int] = {}
+        self.doors = bytearray(1 << 22)
         self.decoded: list[str] = []
         self.sizes = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
-        for text, i in self.table.special.items():  # "\0" can't begin a chunk of a text's own
-            self.index["\0" + text] = len(self.index)
-            self._add(np.array([i], np.uint32), np.array([0, 1]))
+        for text, i in self.table.special.items():  # a text's own chunks never begin with one "\0"
+            self._add(["\0" + text], np.array([i], np.uint32), np.array([0, 1]))
 
-    def _add(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+    def _add(self, chunks: list[str], ids: np.ndarray, bounds: np.ndarray, kept: int | None = None) -> None:
         if self.decodes:
             name = self.table.strings
             tokens = [name[i] for i in ids.tolist()]
             self.decoded += [" ".join(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        kept = len(chunks) if kept is None else kept
+        first = len(self.index)
+        self.index.update(zip(chunks[:kept], range(first, first + kept), strict=True))
+        self.passing = dict(zip(chunks[kept:], range(first + kept, first + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, bounds[:-1] + len(self.pool)])
         self.sizes = np.concatenate([self.sizes, np.diff(bounds)])
         self.pool = np.concatenate([self.pool, ids])
@@ -190,47 +225,116 @@ class WordEncoder:
             out = [x for x in _SPACE.split(self.normalizer.normalize_str(text)) if x]
         return [x if x[0] != "\0" else "\0\0" + x for x in out] if "\0" in text else out
 
-    def _pieces(self, chunk: str) -> list[bytes]:
-        if chunk.startswith("\0\0"):
-            chunk = chunk[2:]
-        elif chunk.isascii() and chunk.isalpha():
-            return [chunk.encode()]
-        if _BEYOND.search(chunk):  # classes of newer characters as the library has them
-            return [bytes(self.bytes_of[c] for c in piece) for piece, _ in self.pre.pre_tokenize_str(chunk)]
-        return [x.encode() for x in self.words.findall(chunk)]
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Finds the ids of all chunks that are new, in one batch of merge rounds."""
-        fresh = {c for chunks in lists for c in chunks}.difference(self.index)
-        if not fresh:
-            return
-        if len(self.index) + len(fresh) > self.most:
-            self.reset()
-            fresh = {c for chunks in lists for c in chunks}.difference(self.index)
-        pieces, bounds = [], [0]
-        for chunk in fresh:
-            pieces += self._pieces(chunk)
-            bounds.append(len(pieces))
-            self.index[chunk] = len(self.index)
-        ids, starts = self.table.encode(pieces)
-        self._add(ids, starts[np.array(bounds)])
-
-    def ids(self, chunks: list[str], end: int | None = None) -> np.ndarray:
-        """Ids of a text's chunks, which learn() has seen; then end, if given."""
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+    def _pieces(self, chunks: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The chunks' words in a row, the words' lengths in bytes, and each chunk's first word (one entry more)."""
+        joined = "\n".join(chunks)
+        found = self.words.findall(joined)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        breaks = points[ends - 1] == 10 if len(found) else np.zeros(0, bool)  # no chunk has a line feed
+        if len(found) and ends[-1] != len(joined):
+            raise AssertionError("the words leave out characters")
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        size = np.diff(np.append(0, np.cumsum(width)[ends - 1])) if len(found) else np.zeros(0, np.int64)
+        firsts = np.concatenate([[0], np.cumsum(~breaks)[breaks], [int((~breaks).sum())]])
+        return joined.replace("\n", "").encode("utf-8", "surrogatepass"), size[~breaks], firsts
+
+    def _encode(self, chunks: list[str], kept: int) -> None:
+        """Adds the ids of new chunks, in one batch of merge rounds; all but the first `kept` for this batch only."""
+        far = [k for k, c in enumerate(chunks) if c[0] == "\0" or not c.isascii() and _BEYOND.search(c)]
+        if not far:
+            data, lengths, firsts = self._pieces(chunks)
+            ids, starts = self.table.encode_flat(data, lengths)
+        else:  # classes of newer characters as the library has them
+            other = set(far)
+            plain = [c for k, c in enumerate(chunks) if k not in other]
+            data, lengths, bounds = self._pieces(plain) if plain else (b"", np.zeros(0, np.int64), np.zeros(1, np.int64))
+            cuts, stops = np.append(0, np.cumsum(lengths)).tolist(), iter(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            words, firsts = [], [0]
+            for k, c in enumerate(chunks):
+                if k in other:
+                    words += [bytes(self.bytes_of[x] for x in piece) for piece, _ in self.pre.pre_tokenize_str(c.removeprefix("\0\0"))]
+                else:
+                    first, stop = next(stops)
+                    words += [data[cuts[w] : cuts[w + 1]] for w in range(first, stop)]
+                firsts.append(len(words))
+            ids, starts = self.table.encode(words)
+        self._add(chunks, ids, starts[np.array(firsts)], kept)
+
+    def _recall(self, chunks: list[str]) -> list[str]:
+        """Takes over what the old memory knows of the chunks; the others."""
+        before, starts, sizes, pool = self.old
+        again = [c for c in chunks if c in before]
+        if not again:
+            return chunks
+        at = np.fromiter(map(before.__getitem__, again), np.int64, len(again))
+        ends = np.cumsum(sizes[at])
+        self._add(again, pool[np.repeat(starts[at] - ends + sizes[at], sizes[at]) + np.arange(ends[-1])], np.append(0, ends))
+        return [c for c in chunks if c not in before]
+
+    def _forget_passing(self) -> None:
+        """Drops what the last batch had for itself."""
+        if self.passing:
+            n = len(self.index)
+            self.pool = self.pool[: self.starts[n]].copy()
+            self.starts, self.sizes = self.starts[:n].copy(), self.sizes[:n].copy()
+            del self.decoded[n:]
+            self.passing = {}
+
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' chunks in a row, and where each text's begin (one entry more).
+
+        They hold until the next call. Chunks seen once only are not kept.
+        """
+        self._forget_passing()
+        lists = [self.chunks(t) for t in texts]
+        flat = [c for own in lists for c in own]
+        at = list(map(self.index.get, flat))
+        missing = [i for i, x in enumerate(at) if x is None]
+        if missing:
+            fresh = Counter([flat[i] for i in missing])
+            often = [c for c, n in fresh.items() if n > 1 or self._seen_before(c)]
+            if len(self.index) + len(often) > self.most:
+                self.reset()
+                fresh = Counter(flat)
+                missing, often = range(len(flat)), [c for c, n in fresh.items() if n > 1]
+                often = [c for c in often if c not in self.index]
+            often = self._recall(often)
+            once = fresh.keys() - self.index.keys()
+            once.difference_update(often)
+            if often or once:
+                self._encode([*often, *once], len(often))
+            known, passing = self.index, self.passing
+            for i in missing:
+                c = flat[i]
+                at[i] = known[c] if c in known else passing[c]
+        return np.array(at, np.int64), np.append(0, np.cumsum(list(map(len, lists)))).astype(np.int64)
+
+    def _seen_before(self, chunk: str) -> bool:
+        """Whether a chunk (or one of the same hash) has come before; only decides what is kept."""
+        slot = hash(chunk) & 0x3FFFFF
+        found = self.doors[slot]
+        self.doors[slot] = 1
+        return bool(found)
+
+    def gather(self, at: np.ndarray, bounds: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose chunks are known (then end, if given) in a row, and where each text's begin."""
         sizes = self.sizes[at]
-        total = int(sizes.sum())
-        out = np.empty(total + (end is not None), np.uint32)
-        if total:
-            shift = self.starts[at] - (np.cumsum(sizes) - sizes)
-            out[:total] = self.pool[np.repeat(shift, sizes) + np.arange(total)]
-        if end is not None:
-            out[total] = end
-        return out
-
-    def decode(self, chunks: list[str]) -> str:
-        """What the library's decode gives for the ids: the tokens' strings with spaces between."""
-        return " ".join(filter(None, map(self.decoded.__getitem__, map(self.index.__getitem__, chunks))))
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.pool[np.repeat(self.starts[at] - stops + sizes, sizes) + np.arange(total)]
+        starts = np.append(0, stops)[bounds]
+        if end is None:
+            return ids, starts
+        return np.insert(ids, starts[1:], np.uint32(end)), starts + np.arange(len(starts))
+
+    def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (one entry more than texts)."""
+        return self.gather(*self.places(texts), end)
+
+    def decode(self, at: np.ndarray) -> str:
+        """What the library's decode gives for the ids of chunks: the tokens' strings with spaces between."""
+        return " ".join(filter(None, map(self.decoded.__getitem__, at.tolist())))
 
     def decode_ids(self, ids) -> str:
         """The same from ids alone; ids outside the vocabulary are left out."""
@@ -259,12 +363,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def run(batch):
         encoder = word_encoder(path)
-        lists = [encoder.chunks(t) for t in batch.column(1).to_pylist()]
-        encoder.learn(lists)
-        ids = [encoder.ids(x) for x in lists]
-        offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-        flat = pa.array(np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64))
-        return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([encoder.decode_ids(x.tolist()) for x in ids])], ["doc_id", "ids", "decoded"])
+        ids, bounds = encoder.encode_batch(batch.column(1).to_pylist())
+        decoded = [encoder.decode_ids(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int64))), pa.array(decoded)], ["doc_id", "ids", "decoded"])
 
     return per_batch(doc_texts(docs, text, key), run, "doc_id long, ids array<long>, decoded string")
 
@@ -274,14 +375,12 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def run(batch):
         encoder = word_encoder(path)
-        lists = [encoder.chunks(t) for t in batch.column(1).to_pylist()]
-        encoder.learn(lists)
-        sizes, ids_sha, text_sha = [], [], []
-        for chunks in lists:
-            ids = encoder.ids(chunks)
-            sizes.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            text_sha.append(hashlib.sha256(encoder.decode(chunks).encode()).hexdigest())
+        at, chunk_bounds = encoder.places(batch.column(1).to_pylist())
+        ids, bounds = encoder.gather(at, chunk_bounds)
+        raw = memoryview(ids.astype("<u4").tobytes())
+        cut = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        sizes, ids_sha = [b - a for a, b in cut], [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in cut]
+        text_sha = [hashlib.sha256(encoder.decode(at[a:b]).encode()).hexdigest() for a, b in zip(chunk_bounds[:-1], chunk_bounds[1:], strict=True)]
         return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return per_batch(doc_texts(docs, text, key), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

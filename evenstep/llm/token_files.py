@@ -60,13 +60,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "
                 filesystem.create_dir(root, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.parquet"
                 out = writer(f"{root}/{name}", filesystem, encoding)
-            lists = [encoder.chunks(t) for t in batch.column(1).to_pylist()]
-            encoder.learn(lists)
-            ids = [encoder.ids(x, end_id) for x in lists]
-            bounds = np.append(0, np.cumsum([len(x) for x in ids]))
-            values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32))).cast(FILE_SCHEMA.field("ids").type)
+            ids, bounds = encoder.encode_batch(batch.column(1).to_pylist(), end_id)
+            values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32))).cast(FILE_SCHEMA.field("ids").type)
             group.append(pa.record_batch([batch.column(0), pa.array(bounds[:-1] + tokens), values], schema=FILE_SCHEMA))
-            tokens, held, n = tokens + int(bounds[-1]), held + int(bounds[-1]), n + len(ids)
+            tokens, held, n = tokens + int(bounds[-1]), held + int(bounds[-1]), n + batch.num_rows
             if held >= group_tokens:
                 flush()
                 held = 0

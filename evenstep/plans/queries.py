@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenstep import api
 from evenstep.functions import polynomial as P
 from evenstep.functions.cost import FREE, PER_INPUT, REGISTRY, model_costs, node_costs, transform
 from evenstep.functions.dtypes import DTYPES, PROMOTIONS, SCALE, promoted, scale_of
@@ -413,6 +414,48 @@ def load_batches(spark, sf_dir):
     return loaded.agg(F.sum(F.size("embedding")).cast("bigint").alias("numbers"), F.count(F.lit(1)).alias("batches"))
 
 
+def _vectors(spark, sf_dir):
+    table = _table(spark, sf_dir, "embeddings")
+    return datasets.Dataset(table, "vec_id", F.size("embedding"))
+
+
+@_query("SELECT vec_id // 8 AS batch, flatten(list(embedding ORDER BY vec_id)) AS embedding FROM embeddings WHERE vec_id // 8 < (SELECT count(*) // 8 FROM embeddings) GROUP BY 1")
+def loader_batches(spark, sf_dir):
+    return api.Loader(_vectors(spark, sf_dir), "embedding", batch_size=8, drop_last=True).batches()
+
+
+@_query("""WITH p AS (SELECT embedding, row_number() OVER (ORDER BY md5('3:' || vec_id), vec_id) - 1 AS pos FROM embeddings)
+SELECT pos // 8 AS batch, flatten(list(embedding ORDER BY pos)) AS embedding FROM p GROUP BY 1""")
+def loader_shuffled(spark, sf_dir):
+    return api.Loader(_vectors(spark, sf_dir), "embedding", batch_size=8, shuffle=True, seed=3).batches()
+
+
+@_query("""SELECT vec_id AS idx, CAST(len(embedding) AS BIGINT) AS size FROM embeddings
+UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings), CAST(len(embedding) AS BIGINT) FROM embeddings""")
+def dataset_sum(spark, sf_dir):
+    return (_vectors(spark, sf_dir) + _vectors(spark, sf_dir)).samples
+
+
+def _shared(f, spark, sf_dir):
+    positions = permute(_samples(spark, sf_dir))
+    n = positions.count() // R * R
+    rows = f(positions.where(F.col("pos") < n), graphs.graph_nodes(spark, "llama3"), 4, 2, R, 1, G, M)
+    return rows.groupBy("step", "micro").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ONE_RANK = f"""WITH n AS (SELECT count(*) // {R} * {R} AS n FROM documents), s AS (SELECT t AS step, least({G}, n - t * {G}) // {R} AS b FROM n, range(CAST(ceil(n / {G}.0) AS BIGINT)) AS x(t))
+SELECT step, CAST(m AS INTEGER) AS micro, least({M}, b - m * {M}) AS n FROM s, range({G // R // M + 1}) AS u(m) WHERE m * {M} < b"""
+_add("sched_rank", partial(_shared, api.sched), _ONE_RANK)
+_add("sched_unstable_rank", partial(_shared, api.sched_unstable), _ONE_RANK)
+
+
+@_query(ORACLES["model_sums"])
+def graph_round_trip(spark, sf_dir):
+    path = work_path(spark, "graphs")
+    graphs.save(graphs.graph_nodes(spark), path)
+    return model_costs(graphs.load(spark, path))
+
+
 # ingestion
 
 

@@ -343,9 +343,9 @@ class WordEncoder:
 
 
 _CONTROL = regex.compile(r"[\x1c-\x1f]")
-_FAR = regex.compile(r"[\x1c-\x1f̀-\U0010ffff]")
-_BEYOND = regex.compile(r"[Ͱ-\U0010ffff]")
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_FAR = regex.compile(r"[\x1c-\x1f\u0300-\U0010ffff]")
+_BEYOND = regex.compile(r"[\u0370-\U0010ffff]")
+_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 @lru_cache(maxsize=2)

@@ -44,7 +44,7 @@ def byte_encoder(path: str):
 
     def ids(text: str) -> np.ndarray:
         # newer characters' classes and endless runs of one kind are left to the library itself
-        if len(text) > 1 << 17 or not text.isascii() and max(text) >= "Ͱ":
+        if len(text) > 1 << 17 or not text.isascii() and max(text) >= "\u0370":
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
         if "<|" in text:
             return np.array(fast.encode(text, allowed_special="all"), np.uint32)

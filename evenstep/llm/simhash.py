@@ -161,9 +161,9 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     keyed = keyed.select("part", "key", "fp")
     hot = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
     hot = written(hot.select("part", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "hot-buckets")
-    edges = _bucket_edges(keyed.join(hot, ["part", "key"], "left_anti") if not hot.isEmpty() else keyed, radius)
     if hot.isEmpty():
-        return edges
+        return _bucket_edges(keyed, radius)
+    edges = _bucket_edges(keyed.join(hot, ["part", "key"], "left_anti"), radius)
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = keyed.join(hot, ["part", "key"]).withColumn("own", own)
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("own", t).alias("x"), F.greatest("own", t).alias("y")))

@@ -92,7 +92,7 @@ def class_table() -> np.ndarray:
             out[c] = OF_CLASS["letter"]
         elif kind == "N":
             out[c] = OF_CLASS["number"]
-    for c in "\t\n\v\f\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))):
+    for c in "\t\n\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))):
         out[ord(c)] = OF_CLASS["white"]
     out[ord(" ")], out[ord("'")] = OF_CLASS["space"], OF_CLASS["quote"]
     for c in SHORT | {"r", "e", "v", "l"}:

@@ -116,11 +116,14 @@ class Field:
     def score(self, text: str) -> float:
         """Probability that any of the tagged tokens (marginal of 0.5 or more) is toxic; without
         one the largest marginal, 0 where no token has a known feature."""
-        cache = _CACHES.setdefault(self.name, {})
+        if self.name not in _CACHES:  # of fields that came before nothing is kept
+            _CACHES.clear()
+            _CACHES[self.name] = {}
+        cache = _CACHES[self.name]
         tokens = text.split()
         fresh = set(tokens).difference(cache)
         if fresh:
-            if len(cache) + len(fresh) > 400_000:
+            if len(cache) + len(fresh) > 300_000:
                 cache.clear()
                 fresh = set(tokens)
             for t in fresh:

@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame
 
 from evenstep.llm.common import doc_texts, per_batch
 
-NO_RANK = np.iinfo(np.int64).max
-#: Bits of an id in a pair's key.
-SHIFT = 21
+NO_RANK = np.iinfo(np.int32).max
 
 
 def byte_characters() -> list[str]:
@@ -41,19 +39,22 @@ class MergeTable:
         if prefix or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError("continuing prefixes, ignore_merges and dropout are not supported")
         chars = byte_characters()
-        self.inner = np.array([self.vocab.get(c, -1) for c in chars], np.int64)
-        self.last = np.array([self.vocab.get(c + suffix, -1) for c in chars], np.int64)
+        self.inner = np.array([self.vocab.get(c, -1) for c in chars], np.int32)
+        self.last = np.array([self.vocab.get(c + suffix, -1) for c in chars], np.int32)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
         right = np.array([self.vocab[b] for _, b in pairs], np.int64)
         made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        keys = left << SHIFT | right
+        # two ids make a key; half the bytes where ids have 16 bits
+        small = max(self.vocab.values(), default=0) < 1 << 16
+        self.shift, self.key = (16, np.uint32) if small else (21, np.int64)
+        keys = (left << self.shift | right).astype(self.key)
         order = np.argsort(keys, kind="stable")
         # of a pair that is listed twice the later rank holds, as in a map filled in order
         keep = np.append(keys[order][1:] != keys[order][:-1], True) if len(order) else np.zeros(0, bool)
         self.order = order[keep]
         self.base = np.unique(np.concatenate([self.inner, self.last]))
-        self.keys, self.ranks, self.made = keys[self.order], self.order.astype(np.int64), made[self.order]
+        self.keys, self.ranks, self.made = keys[self.order], self.order.astype(np.int32), made[self.order].astype(np.int32)
         born = {}
         self.steady = True
         for rank, (a, b, c) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True)):
@@ -63,8 +64,9 @@ class MergeTable:
         # what the binary search gives for pairs of single bytes, looked up once
         self.place_of = np.full(int(self.base[-1]) + 1, -1, np.int64)
         self.place_of[self.base[self.base >= 0]] = np.flatnonzero(self.base >= 0)
-        grid = self.base[:, None] << SHIFT | self.base[None, :]
-        self.base_rank, self.base_made = np.full(grid.shape, NO_RANK), np.zeros(grid.shape, np.int64)
+        grid = np.maximum(self.base, 0).astype(self.key)
+        grid = grid[:, None] << self.key(self.shift) | grid[None, :]
+        self.base_rank, self.base_made = np.full(grid.shape, NO_RANK, np.int32), np.zeros(grid.shape, np.int32)
         hit, place = self.find(grid.ravel())
         self.base_rank.ravel()[hit], self.base_made.ravel()[hit] = self.ranks[place], self.made[place]
         self.pairs = list(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))
@@ -86,7 +88,7 @@ class MergeTable:
         symbols = self.inner[raw]
         full = lengths > 0
         symbols[ends[full] - 1] = self.last[raw[ends[full] - 1]]
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         known = symbols >= 0  # bytes without a symbol are dropped
         if not known.all():
             symbols, owner = symbols[known], owner[known]
@@ -112,8 +114,8 @@ class MergeTable:
             symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
             moved = at - np.arange(len(at))  # only pairs with a merged symbol are new
             self._pairs(symbols, owner, rank, made, np.concatenate([moved, moved[moved > 0] - 1]))
-        ids = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
-        of = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
+        ids = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int32)
+        of = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int32)
         ids = ids[np.argsort(of, kind="stable")]
         return ids.astype(np.uint32), np.append(0, np.cumsum(np.bincount(of, minlength=len(lengths))))
 
@@ -127,7 +129,7 @@ class MergeTable:
 
     def _first_pairs(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of the pair of bytes that begins at each place."""
-        rank, made = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
+        rank, made = np.full(len(symbols), NO_RANK, np.int32), np.zeros(len(symbols), np.int32)
         if len(symbols) > 1:
             at = self.place_of[symbols]
             same = owner[1:] == owner[:-1]
@@ -141,7 +143,7 @@ class MergeTable:
         at = at[at + 1 < len(symbols)]
         at = at[owner[at + 1] == owner[at]]
         if len(at):
-            hit, place = self.find(symbols[at] << SHIFT | symbols[at + 1])
+            hit, place = self.find(symbols[at].astype(self.key) << self.key(self.shift) | symbols[at + 1].astype(self.key))
             rank[at[hit]], made[at[hit]] = self.ranks[place], self.made[place]
 
     def _apart(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:

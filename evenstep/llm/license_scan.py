@@ -1,9 +1,10 @@
 """Licence scans with a positional index of rare tokens.
 
 The index holds, for every word of the licence templates, where it stands in which template.
-A file looks up its highest-IDF licence words; a place in the file and a place in a template give
-a relative position, and places that agree on one are an alignment. An alignment counts once
-the template's mandatory key phrase stands at it, word for word.
+Every template is looked up by the highest-IDF words of its own mandatory key phrase, whatever else
+a file holds; a place in the file and a place in a template give a relative position, and places
+that agree on one are an alignment. An alignment counts once the key phrase stands at it, word for
+word; as it then has all its words there, no key phrase is missed.
 """
 
 from __future__ import annotations
@@ -47,28 +48,31 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """Postings by word: (template, place). Key phrases as (first place, words)."""
+    """Postings by word: (template, place), of the `rarest` rarest places of each template's key
+    phrase. Key phrases as (first place, words)."""
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, rarest: int = 8):
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, rarest: int = 2):
         self.labels = [label for label, _, _ in templates]
         self.wording = [words_of(t) for _, t, _ in templates]
         self.keys = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, _, phrase) in enumerate(templates):
             key = words_of(phrase)
             at = [i for i in range(len(self.wording[k])) if self.wording[k][i : i + len(key)] == key]
             if not at:
                 raise ValueError(f"no key phrase in template {k}")
             self.keys.append((at[0], key))
-            for i, w in enumerate(self.wording[k]):
-                self.postings[w].append((k, i))
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for words in self.wording for w in words)
         self.phrases = [(b" " + b" ".join(words_of(p)) + b" ", len(words_of(p)), label) for p, label in phrases.items()]
         self.rarest = rarest
-        self.idf: dict[bytes, float] = {}
+        self.with_counts(0, {})
 
     def with_counts(self, n: int, df: dict[bytes, int]) -> Index:
         self.idf = {w: log((n + 1) / (df.get(w, 0) + 1)) for w in self.vocabulary}
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for k, (first, key) in enumerate(self.keys):
+            for i in sorted(range(len(key)), key=lambda i: (-self.idf[key[i]], key[i], i))[: self.rarest]:
+                self.postings[key[i]].append((k, first + i))
+        self.needed = [min(self.rarest, len(key)) for _, key in self.keys]
         return self
 
     def base(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
@@ -87,21 +91,16 @@ class Index:
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
         """Labels whose key phrase stands at an alignment; the largest share of a template's
         words, weighted by IDF, that stand at a verified alignment."""
-        vocabulary = self.vocabulary
-        places: dict[bytes, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            if w in vocabulary:
-                places[w].append(i)
-        rare = sorted(places, key=lambda w: (-self.idf.get(w, 0.0), w))[: self.rarest]
+        postings = self.postings
         votes: Counter = Counter()
-        for w in rare:
-            for k, t in self.postings[w]:
-                for p in places[w]:
+        for p, w in enumerate(words):
+            if w in postings:
+                for k, t in postings[w]:
                     votes[k, p - t] += 1
         labels, score = set(), 0.0
         for (k, at), n in votes.items():
             first, key = self.keys[k]
-            if n < 2 or at + first < 0 or words[at + first : at + first + len(key)] != key:
+            if n < self.needed[k] or at + first < 0 or words[at + first : at + first + len(key)] != key:
                 continue
             labels.add(self.labels[k])
             weights = [self.idf.get(w, 0.0) + 1e-9 for w in self.wording[k]]
@@ -125,7 +124,7 @@ def document_frequencies(docs: DataFrame, index: Index) -> tuple[int, dict[bytes
     return found.pop(b"", 0), found
 
 
-def scan_documents(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, rarest: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan_documents(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, rarest: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
     Document frequencies are counted over the whole table first. Null and empty texts have no

@@ -168,6 +168,17 @@ def test_license_templates(spark):
     assert not license_scan.scan_documents(rows.where("false")).collect()
 
 
+def test_licenses_side_by_side(spark):
+    """Every template whose key phrase stands in a file gives its label, whatever else is in the file."""
+    wording = [(label, text) for label, text, _ in license_scan.TEMPLATES]
+    made = {100 * i + j: f"{a} -- {b}" for i, (_, a) in enumerate(wording) for j, (_, b) in enumerate(wording)}
+    want = {100 * i + j: ",".join(sorted({a, b})) for i, (a, _) in enumerate(wording) for j, (b, _) in enumerate(wording)}
+    made |= {9000: "\n".join(t for _, t in wording), 9001: "\n".join(p for _, _, p in license_scan.TEMPLATES)}
+    want |= dict.fromkeys((9000, 9001), ",".join(sorted({label for label, _ in wording})))
+    rows = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan_documents(rows).collect()} == want
+
+
 def brute_features(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))

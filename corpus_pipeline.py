@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstep.llm import block_naming, packing, quality, queries, simhash, toxicity
@@ -13,9 +13,15 @@ from evenstep.packaging import ship
 KEPT, SHA = "__evenstep_kept", "__evenstep_sha"
 
 
-def _one_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; a null doc_id counts as a value, and stays if it is there."""
-    return docs.join(ids.withColumnRenamed("doc_id", KEPT), F.col("doc_id").eqNullSafe(F.col(KEPT)), "left_semi")
+def _one_each(docs: DataFrame, kept: DataFrame, text: Column) -> DataFrame:
+    """One row of docs for each row of kept (doc_id, text_sha256: the hash of `text`); a null doc_id counts as a value."""
+    same_id = F.col("doc_id").eqNullSafe(F.col(KEPT))
+    kept = kept.select(F.col("doc_id").alias(KEPT), F.col("text_sha256").alias(f"{SHA}_kept"))
+    out = docs.join(kept.select(KEPT), same_id, "left_semi")
+    # only where a doc_id stands in several rows do the texts have to be told apart
+    if kept.count() != out.select("doc_id").count():
+        out = docs.withColumn(SHA, F.sha2(text, 256)).join(kept, same_id & (F.col(SHA) == F.col(f"{SHA}_kept")), "left_semi").dropDuplicates(["doc_id", SHA]).drop(SHA)
+    return out
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +41,14 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship(spark)
     found = block_naming.exact_duplicates(docs)
     kept = written(found.where("kept").select("doc_id", "text_sha256"), "kept")
-    out = _one_each(docs, kept.select("doc_id"))
-    # only where a doc_id stands in several rows do the texts have to be told apart
-    if kept.count() != out.select("doc_id").count():
-        normalised = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " ")
-        marked = docs.withColumn(SHA, F.sha2(normalised, 256))
-        match = F.col("doc_id").eqNullSafe(F.col(KEPT)) & (F.col(SHA) == F.col(f"{SHA}_kept"))
-        out = marked.join(kept.select(F.col("doc_id").alias(KEPT), F.col("text_sha256").alias(f"{SHA}_kept")), match, "left_semi").dropDuplicates(["doc_id", SHA]).drop(SHA)
-    return out
+    return _one_each(docs, kept, F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each component of linked fingerprints the document with the smallest doc_id stays."""
+    """Operator 5: of each component of linked fingerprints the document with the smallest doc_id stays; rows of one doc_id, or of none, are told apart by their texts."""
     ship(spark)
-    groups = simhash.near_duplicates(docs)
-    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    out = _one_each(docs, kept)
-    if kept.count() != out.select("doc_id").count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    kept = written(simhash.survivors(docs), "kept")
+    return _one_each(docs, kept, F.coalesce("text", F.lit("")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ its distances exceed the radius.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -238,14 +239,19 @@ def _tile_edges(dealt: DataFrame, radius: int) -> DataFrame:
     return dealt.select(*order, "own", "fp").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
-def fingerprint_documents(docs: DataFrame, width: int = WIDTH, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for every row; null and empty texts have 0."""
+def fingerprint_documents(docs: DataFrame, width: int = WIDTH, seed: int = SEED, text: str = "text", key: str = "doc_id", with_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) for every row; null and empty texts have 0.
+    On request also text_sha256, which tells rows of one doc_id apart."""
 
     def run(batch):
-        prints = fingerprints([shingle_hashes(t, width, seed) for t in batch.column(1).to_pylist()])
-        return pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        texts = batch.column(1).to_pylist()
+        prints = fingerprints([shingle_hashes(t, width, seed) for t in texts])
+        columns = {"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))}
+        if with_hash:
+            columns["text_sha256"] = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
+        return pa.record_batch(list(columns.values()), list(columns))
 
-    return per_batch(doc_texts(docs, text, key), run, "doc_id long, fp long")
+    return per_batch(doc_texts(docs, text, key), run, f"doc_id long, fp long{', text_sha256 string' if with_hash else ''}")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, seed: int = SEED, tile: int = TILE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -265,3 +271,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, s
     linked = joined.join(least, "root").select("fp", "component_id")
     of = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, seed: int = SEED, tile: int = TILE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id and text_sha256 of one row for every component of near_duplicates().
+
+    It is the row with the smallest key (a null key only if all are null), of rows with that key
+    the one with the smallest hash. So each component has its own row, however often a key is
+    null or stands in the table. Edge cases are those of near_duplicates().
+    """
+    prints = written(fingerprint_documents(docs, width, seed, text, key, with_hash=True), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("least")
+    distinct = written(prints.groupBy("fp").agg(least), "distinct-prints")
+    roots = connected_components(links(distinct, radius, tile))
+    joined = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least"), "linked-prints")
+    return joined.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_sha256")

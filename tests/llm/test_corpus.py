@@ -398,3 +398,15 @@ def test_copy_stages_with_repeated_rows(docs, spark, sf):
     near = corpus_pipeline.remove_near_copies(spark, docs.where("doc_id is not null"), sf).collect()
     groups = simhash.near_duplicates(docs.where("doc_id is not null")).collect()
     assert sorted(r.doc_id for r in near) == sorted({r.component_id for r in groups})
+
+
+def test_near_copies_with_null_and_repeated_ids(spark, sf):
+    """One row of every component stays, also where a doc_id is null or stands at several texts."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2].upper()), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (None, texts[4]), (6, texts[5]), (2, texts[5].title()), (None, texts[6]), (None, texts[6])]
+    made = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, kept string, fp int").repartition(3)
+    near = corpus_pipeline.remove_near_copies(spark, made, sf)
+    found = sorted(((r.doc_id or 0, r.text.lower()) for r in near.collect()))
+    assert near.columns == made.columns
+    assert found == sorted([(0, texts[0]), (0, texts[1]), (0, texts[2]), (5, texts[3]), (5, texts[4]), (2, texts[5]), (0, texts[6])])

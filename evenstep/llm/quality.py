@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose figure is above a cutoff. Cutoffs come from labelled holdouts:
-for every stratum and rule they go down from the laxest, as long as an exact binomial bound
-says that at most a set share of good documents would be rejected. The share and the error
-probability are divided among all rules and strata.
+Each rule rejects documents whose figure is above a cutoff. Cutoffs come from labelled holdouts.
+In every stratum the bad holdouts and a third of the good ones give a list of cutoffs, the surest
+first. The other good holdouts then test the rules together: cutoffs of the list are added one by
+one, as long as an exact binomial bound says that all so far would reject at most a set share of
+good documents. The rules share that bound; the error probability is divided among strata only.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def at_most(k: int, n: int, p: float) -> float:
 
 
 def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float, near_best: float = 0.98, worth: float = 10.0) -> int | None:
-    """The cutoff for counts of good and bad holdouts by step; None if none is certain or useful.
+    """One rule on its own: the cutoff for counts of good and bad holdouts by step; None if none is certain or useful.
 
     Cutoffs are tested from the laxest on and testing ends with the first that fails, so each
     test may use all of delta. A cutoff passes if the exact upper bound of the share of good
@@ -131,6 +132,59 @@ def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float, near_b
     return max(c for c in passed if bad_above[c] >= want)
 
 
+def proposals(tables: dict[str, tuple[np.ndarray, np.ndarray]], scale: float, alpha: float, worth: float = 10.0, near_best: float = 0.98, fewest_bad: int = 3) -> list[tuple[str, int]]:
+    """(rule, cutoff) in the order in which cutoffs are to be tested, from counts of good and bad
+    holdouts by rule and step; `scale` is how many good holdouts a counted one stands for.
+
+    First each rule's cutoff that rejects none of the counted good holdouts, then its stricter
+    one that catches `worth` bad documents for each good one; of either kind the laxest that
+    catches near_best of what the best does. The former go by how far above all counted good ones
+    their cutoff is, as others may exceed these a little; the latter by good documents.
+    """
+    above = lambda x: np.append(np.cumsum(x[::-1])[::-1][1:], 0)
+    found = []
+    for at, (rule, (good, bad)) in enumerate(tables.items()):
+        k, caught = above(good) * scale, above(bad)
+        useful = caught >= fewest_bad
+        for level, able in enumerate((useful & (k == 0), useful & (k <= alpha * good.sum() * scale) & (caught >= worth * k))):
+            if able.any():
+                c = int(np.flatnonzero(able & (caught >= near_best * caught[able].max()))[-1])
+                apart = (c + 1) / (int(np.flatnonzero(able)[0]) + 1)
+                found.append((level, float(k[c]) if level else -apart, -int(caught[c]), at, rule, c))
+    out: dict = {}
+    path = []
+    for _, _, _, _, rule, c in sorted(found):
+        if c < out.get(rule, TOP + 1):  # a laxer cutoff adds nothing
+            out[rule] = c
+            path.append((rule, c))
+    return path
+
+
+def accepted(path: list[tuple[str, int]], good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> dict[str, int]:
+    """The cutoffs of the longest beginning of path whose rules together hold the bound.
+
+    good, bad: holdouts by the first entry of path that rejects them; the last count is of those
+    that none rejects. The list is fixed before the good ones are seen and testing ends with the
+    first failure, so each test may use all of delta. Entries that catch no more bad documents
+    go, which rejects fewer good ones.
+    """
+    n, k, out = int(good.sum()), 0, {}
+    for i, (rule, c) in enumerate(path):
+        k += int(good[i])
+        if k >= n or at_most(k, n, alpha) > delta:
+            break
+        if bad[i]:
+            out[rule] = c
+    return out
+
+
+def testable(sizes: dict[str, tuple[int, int]], alpha: float, delta: float) -> dict[str, tuple[int, int]]:
+    """Of strata with (seen, tests) good holdouts the most that can each pass a test at their part of delta."""
+    order = sorted(sizes, key=lambda s: (-sizes[s][1], s))
+    most = max((i for i, s in enumerate(order, 1) if sizes[s][1] >= log(delta / i) / log1p(-alpha)), default=0)
+    return {s: sizes[s] for s in order[:most]}
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
     """Cutoffs by stratum and rule from all labelled rows (labels: doc_id, quality 0 or 1).
 
@@ -138,20 +192,31 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     certain of anything get no cutoffs, which also bounds what goes to the driver: counts for at
     most (good holdouts / fewest) strata.
     """
-    each_alpha = alpha / len(RULES)
-    fewest = int(log(delta / len(RULES)) / log1p(-each_alpha))
+    fewest = int(log(delta) / log1p(-alpha))
     quality = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = feats.where(~base_failed()).join(quality, "doc_id")
-    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), c.alias("step")) for r, c in figures().items())))
-    counts = held.select("stratum", "quality", steps.alias("x")).groupBy("stratum", "x.rule", "x.step").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
-    counts = written(counts, "quality-counts")
-    enough = counts.where(F.col("rule") == RULES[0]).groupBy("stratum").agg(F.sum("good").alias("n")).where(F.col("n") >= fewest).select("stratum")
-    tables: dict = {}
-    for r in counts.join(enough, "stratum").collect():
-        good, bad = tables.setdefault(r.stratum, {}).setdefault(r.rule, (np.zeros(TOP + 1, np.int64), np.zeros(TOP + 1, np.int64)))
-        good[r.step], bad[r.step] = r.good, r.bad
-    tests = len(RULES) * max(len(tables), 1)
-    return {s: {rule: c for rule, (good, bad) in rules.items() if (c := choose(good, bad, each_alpha, delta / tests)) is not None} for s, rules in tables.items()}
+    # part: 0 bad, 1 good for the list, 2 good for the tests
+    part = F.when(F.col("quality") == 0, 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, 1).otherwise(2).alias("part")
+    held = written(feats.where(~base_failed()).join(quality, "doc_id").select("stratum", part, F.struct(*(c.alias(r) for r, c in figures().items())).alias("step")), "quality-holdouts")
+    enough = held.groupBy("stratum").agg(F.count_if(F.col("part") == 1).alias("seen"), F.count_if(F.col("part") == 2).alias("tests")).where((F.col("tests") >= fewest) & (F.col("seen") > 0))
+    sizes = testable({r.stratum: (r.seen, r.tests) for r in enough.collect()}, alpha, delta)
+    if not sizes:
+        return {}
+    names = F.broadcast(held.sparkSession.createDataFrame([(s,) for s in sizes], "stratum string"))
+    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"step.{r}").alias("at")) for r in RULES)))
+    counts = held.where("part < 2").join(names, "stratum").select("stratum", "part", steps.alias("x")).groupBy("stratum", "part", "x.rule", "x.at").agg(F.count(F.lit(1)).alias("n"))
+    tables: dict = {s: {r: (np.zeros(TOP + 1, np.int64), np.zeros(TOP + 1, np.int64)) for r in RULES} for s in sizes}
+    for r in counts.collect():
+        tables[r.stratum][r.rule][0 if r.part else 1][r.at] = r.n
+    paths = {s: proposals(t, sum(sizes[s]) / sizes[s][0], alpha) for s, t in tables.items()}
+    lists = held.sparkSession.createDataFrame([(s, [(i, rule, c) for i, (rule, c) in enumerate(p)]) for s, p in paths.items()], "stratum string, path array<struct<i: int, rule: string, cutoff: int>>")
+    figure = F.create_map(*(x for r in RULES for x in (F.lit(r), F.col(f"step.{r}"))))
+    hit = F.filter("path", lambda x: figure[x["rule"]] > x["cutoff"])
+    first = F.coalesce(F.get(hit, F.lit(0))["i"], F.size("path")).alias("first")
+    tested = held.where("part <> 1").join(F.broadcast(lists), "stratum").select("stratum", "part", first).groupBy("stratum", "part", "first").agg(F.count(F.lit(1)).alias("n"))
+    firsts = {s: np.zeros((3, len(p) + 1), np.int64) for s, p in paths.items()}
+    for r in tested.collect():
+        firsts[r.stratum][r.part, r.first] = r.n
+    return {s: accepted(p, firsts[s][2], firsts[s][0], alpha, delta / len(sizes)) for s, p in paths.items()}
 
 
 def rejected_by_rule(cutoffs: dict[str, dict[str, int]]) -> Column:

@@ -239,6 +239,34 @@ def test_quality_verdicts(spark):
     assert not quality.quality_verdicts(docs.where("false"), labels).collect()
 
 
+def test_small_strata_earn_cutoffs(spark):
+    """Some 300 good holdouts a language are enough, however many rules there are."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    kinds = [word, lambda: word() + "%%%", lambda: word().upper()]
+    rows = [(1000 * s + i, " ".join(kinds[0 if i < 330 else 1 + i % 2]() for _ in range(80)), lang) for s, lang in enumerate(("de", "fr", "es")) for i in range(370)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, int(d % 1000 < 330)) for d, _, _ in rows], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality_verdicts(docs, labels).where("kept").collect()}
+    for s in range(3):
+        assert sum(1000 * s + i not in kept for i in range(330)) <= 0.03 * 330
+        assert not any(1000 * s + i in kept for i in range(330, 370))
+
+
+def test_joint_cutoffs_hold_their_risk():
+    """Rules that each reject 2 % of good documents, 4 % together, rarely pass together at 3 %."""
+    rng, both, one = np.random.default_rng(0), 0, 0
+    path = [("symbols", 5), ("capitals", 5)]
+    for _ in range(400):
+        out = quality.accepted(path, rng.multinomial(2000, [0.02, 0.02, 0.96]), np.array([50, 50, 0]), 0.03, 0.05)
+        both += len(out) == 2
+        one += out == {"symbols": 5}
+    assert both <= 0.08 * 400 and one > 200
+    assert quality.accepted(path, np.array([0, 0, 900]), np.array([9, 0, 1]), 0.03, 0.05) == {"symbols": 5}  # catches no more
+    assert quality.accepted(path, np.array([0, 0, 90]), np.array([9, 9, 1]), 0.03, 0.05) == {}  # too few to be certain
+    assert set(quality.testable({"a": (50, 500), "b": (50, 150), "c": (50, 101)}, 0.03, 0.05)) == {"a", "b"}
+
+
 def plain_marginals(field, tokens):
     """Forward and backward over every token, without shortcuts."""
     e = np.array([[1.0, np.exp(field.bias + (field.emission(t) or 0))] for t in tokens])

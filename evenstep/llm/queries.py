@@ -56,7 +56,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), with_spans=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_counts, op4_warc, op5_simhash, op6_license_scan, op7_bpe, op8_token_files, op9_quality, op10_toxicity)}

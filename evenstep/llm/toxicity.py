@@ -1,23 +1,26 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels mark documents; tokens get labels from them: a token of a toxic document is labelled if
-its word or a beginning of it is, beyond doubt, a mark of toxic documents. The field learns
-from these tokens, and forward-backward marginals give each token's probability. A document's
-score is the probability that any of its tokens is toxic.
+Labels mark documents; tokens get labels from them: a token is a mark if its word or a beginning
+of it stands, once or several times, in toxic documents beyond doubt; marks are toxic in toxic
+documents and plain in others, where they stand by chance or in passing. The field learns from
+these tokens, and forward-backward marginals give each token's probability. The tagged tokens'
+sum, the expected number of toxic ones, and its share of the text give a document's score.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from math import log
+from collections import Counter
+from functools import reduce
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenstep.llm.common import doc_texts, per_batch
+from evenstep.llm.common import doc_texts, per_batch, small_batches, written
 from evenstep.llm.components import Forest
 from evenstep.llm.simhash import shingle_hashes
 
@@ -25,43 +28,47 @@ THRESHOLD = 0.7
 #: Bounds of the labelled sample that the field is fitted on: rows of either label, and bytes of a row.
 TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1500, 3500, 100_000
 #: Lengths of the beginnings of words that are features beside the words.
-PREFIXES = (4, 5, 6, 7)
-MOST_FEATURES = 20_000
-SPAN = 16
-_CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S+")
-
-
-def core(token: str) -> str:
-    """The first run of letters of a token, in lower case."""
-    found = _CORE.search(token)
-    return found[0].lower() if found else ""
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: How often a feature must stand in a document to be counted there; each is a test of its own.
+TIMES = (1, 2, 3)
+#: The least share of toxic ones among the documents that a mark stands in.
+LEAST_SHARE = 0.7
+#: Plain tokens that a mark is learnt with on either side, and the longest piece of a text to learn from at a time.
+AROUND, SPAN = 6, 32
+#: The marginal that tags a token.
+TAGGED = 0.5
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def token_features(word: str) -> list[str]:
-    return [f"w:{word}", *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n)] if word else []
+    """Names of a token's features: its beginnings, shortest first, and its word, in lower case."""
+    word = word.lower()
+    return [*(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n), f"w:{word}"]
 
 
-def beyond_doubt(k: np.ndarray, n: np.ndarray, base: float, tests: int) -> np.ndarray:
+def beyond_doubt(k: Column, n: Column, base: float, tests: int) -> Column:
     """Whether k toxic of n documents can't be chance at this base rate, by Chernoff's bound over all tests."""
-    share = k / np.maximum(n, 1)
-    rest = np.where(share < 1, (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0.0)
-    apart = share * np.log(np.maximum(share, 1e-12) / base) + rest
-    return (k >= 3) & (share >= max(0.8, base)) & (share > base) & (n * apart > log(tests / 0.01))
+    share = k / F.greatest(n, F.lit(1))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    apart = F.when(share > 0, share * F.log(share / base)).otherwise(0.0) + rest
+    return (k >= 3) & (share >= max(LEAST_SHARE, base)) & (share > base) & (n * apart > log(tests / 0.01))
 
 
 class Field:
-    """Two labels; emission weights of features and a bias for label 1; transition weights."""
+    """Two labels; emission weights of features and a bias for label 1; transition weights. The
+    verdict on a document: weights of a constant, of the logarithm of its expected number of
+    toxic tokens and of that of their number in a thousand."""
 
-    def __init__(self, weights: dict[str, float] | None = None, bias: float = -8.0, moves: np.ndarray | None = None):
+    def __init__(self, weights: dict[str, float] | None = None, bias: float = -8.0, moves: np.ndarray | None = None, verdict: tuple[float, float, float] = (0.0, 1.0, 0.0)):
         self.weights = weights or {}
         self.bias = bias
         self.moves = np.zeros((2, 2)) if moves is None else moves
+        self.verdict = verdict
         self.name = uuid.uuid4().hex
 
     def emission(self, token: str) -> float | None:
         """What a token adds to the bias; None if it has no known feature."""
-        known = [self.weights[f] for f in token_features(core(token)) if f in self.weights]
+        known = [self.weights[f] for f in token_features(token) if f in self.weights]
         return sum(known) if known else None
 
     def marginals(self, places: list[int], adds: list[float], n: int) -> np.ndarray:
@@ -104,23 +111,13 @@ class Field:
             n >>= 1
         return message
 
-    def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of the tokens, by character, that are toxic."""
-        tokens = list(_TOKEN.finditer(text))
-        hits = [(i, e) for i, m in enumerate(tokens) if (e := self.emission(m[0])) is not None]
-        if not hits:
-            return []
-        found = self.marginals([i for i, _ in hits], [e for _, e in hits], len(tokens))
-        return [(tokens[i].start(), tokens[i].end(), float(p)) for (i, _), p in zip(hits, found, strict=True) if p >= least]
-
-    def score(self, text: str) -> float:
-        """Probability that any of the tagged tokens (marginal of 0.5 or more) is toxic; without
-        one the largest marginal, 0 where no token has a known feature."""
+    def evidence(self, text: str) -> tuple[int, list[int], np.ndarray]:
+        """Number of tokens, places of those with known features, and their marginals."""
         if self.name not in _CACHES:  # of fields that came before nothing is kept
             _CACHES.clear()
             _CACHES[self.name] = {}
         cache = _CACHES[self.name]
-        tokens = text.split()
+        tokens = _TOKEN.findall(text)
         fresh = set(tokens).difference(cache)
         if fresh:
             if len(cache) + len(fresh) > 300_000:
@@ -131,103 +128,190 @@ class Field:
         adds = list(map(cache.__getitem__, tokens))
         places = [i for i, e in enumerate(adds) if e is not None]
         if not places:
-            return 0.0
-        p = self.marginals(places, [adds[i] for i in places], len(tokens))
-        tagged = p[p >= 0.5]
-        return float(1 - np.prod(1 - tagged)) if len(tagged) else float(p.max())
+            return len(tokens), places, np.zeros(0)
+        return len(tokens), places, self.marginals(places, [adds[i] for i in places], len(tokens))
+
+    def score(self, text: str) -> float:
+        """The document's probability from its tagged tokens (marginal of 0.5 or more); without
+        one the largest marginal, 0 where no token has a known feature."""
+        n, _, p = self.evidence(text)
+        return self._verdict(n, p)
+
+    def _verdict(self, n: int, p: np.ndarray) -> float:
+        tagged = p[p >= TAGGED]
+        if not len(tagged):
+            return float(p.max(initial=0.0))
+        z = float(np.dot(self.verdict, totals(n, float(tagged.sum()))))
+        return 1 / (1 + exp(-max(min(z, 40.0), -40.0)))
+
+    def judged(self, text: str, least: float = TAGGED) -> tuple[float, list[tuple[int, int, float]]]:
+        """score() and spans(): (start, end, probability) of the toxic tokens, by character."""
+        n, places, p = self.evidence(text)
+        if not places:
+            return 0.0, []
+        toxic = {i: float(x) for i, x in zip(places, p, strict=True) if x >= least}
+        found = [(m.start(), m.end(), toxic[i]) for i, m in enumerate(_TOKEN.finditer(text)) if i in toxic] if toxic else []
+        return self._verdict(n, p), found
+
+    def spans(self, text: str, least: float = TAGGED) -> list[tuple[int, int, float]]:
+        return self.judged(text, least)[1]
+
+
+def totals(n: int, expected: float) -> tuple[float, float, float]:
+    """What a verdict weighs."""
+    return 1.0, log1p(expected), log1p(1000 * expected / max(n, 1))
 
 
 #: What this worker knows of tokens, by field.
 _CACHES: dict[str, dict[str, float | None]] = {}
 
 
-def copy_groups(texts: list[str], bands: int = 8) -> list[int]:
-    """A group's number for each text: texts with the same two least hashes of their shingles,
-    under any of some permutations, are one group. Copies of a document are one witness, not many."""
-    forest, first = Forest(), {}
+def least_hashes(text: str, bands: int = 8) -> list[int]:
+    """The least hashes of a text's shingles under 2 * bands permutations, as signed numbers."""
+    hashes = np.array(shingle_hashes(text) or [0], np.uint64)
     scale = np.random.default_rng(1).integers(1, 1 << 62, (2 * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for i, t in enumerate(texts):
-        hashes = np.array(shingle_hashes(t) or [0], np.uint64)
-        least = (hashes * scale).min(1).tolist()
-        for b in range(bands):
-            forest.join(first.setdefault((b, least[2 * b], least[2 * b + 1]), i), i)
-    return [forest.root(i) for i in range(len(texts))]
-
-
-def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 0.2, ridge: float = 1e-3, seed: int = 7) -> Field:
-    """A field from (text, toxic) rows; one that finds nothing if labels or marks are missing."""
-    vocabulary: dict[str, int] = {}
-    texts = [np.fromiter((vocabulary.setdefault(core(t), len(vocabulary)) for t in text.split()), np.int32) for text, _ in rows]
-    groups: dict[tuple[int, int], list[np.ndarray]] = {}
-    for g, own, (_, toxic) in zip(copy_groups([t for t, _ in rows]), texts, rows, strict=True):
-        groups.setdefault((g, toxic), []).append(own)
-    n_toxic = sum(toxic for _, toxic in groups)
-    if not n_toxic or n_toxic == len(groups):
-        return Field()
-    base = n_toxic / len(groups)
-    # features by word: numbers for those of toxic documents, -1 for others
-    width = len(PREFIXES) + 1
-    in_toxic = np.zeros(len(vocabulary), bool)
-    for own, (_, toxic) in zip(texts, rows, strict=True):
-        if toxic:
-            in_toxic[own] = True
-    numbers: dict[str, int] = {}
-    of = np.full((len(vocabulary), width), -1, np.int32)
-    for only_known in (False, True):
-        for word, i in vocabulary.items():
-            if in_toxic[i] != only_known:
-                found = token_features(word)
-                of[i, : len(found)] = [numbers.get(f, -1) for f in found] if only_known else [numbers.setdefault(f, len(numbers)) for f in found]
-    seen_in = np.zeros((2, len(numbers) + 1), np.int64)  # the last stands for none
-    for (_, toxic), own in groups.items():
-        seen_in[toxic, np.unique(of[np.unique(np.concatenate(own))])] += 1
-    k, n = seen_in[1, :-1], seen_in[:, :-1].sum(0)
-    sure = np.append(beyond_doubt(k, n, base, max(len(numbers), 1)), False)
-    marked = sure[of].any(1)
-    if not marked.any():
-        return Field()
-    own = np.unique(of[marked])
-    own = own[own >= 0]
-    own = own[np.lexsort((own, -k[own]))][:MOST_FEATURES]
-    number = np.zeros(len(numbers) + 1, np.int64)  # 0 stands for none
-    number[own] = np.arange(1, len(own) + 1)
-    names = {i: f for f, i in numbers.items() if number[i]}
-    of = number[of]
-    alike_word = (of > 0).any(1) & ~marked
-    rng = np.random.default_rng(seed)
-    x, y = [], []
-    none = np.zeros((SPAN, width), np.int64)
-    for own, (_, toxic) in zip(texts, rows, strict=True):
-        if not len(own):
-            continue
-        is_mark = marked[own]
-        marks = np.flatnonzero(is_mark) if toxic else np.zeros(0, np.int64)
-        # words that only share a beginning with marked ones must learn to be plain
-        alike = np.flatnonzero(alike_word[own] | (is_mark & (not toxic)))
-        picked = rng.permutation(marks)[:2].tolist() + rng.permutation(alike)[:4].tolist() + [int(rng.integers(len(own)))]
-        for i in picked:
-            a = max(0, min(i - int(rng.integers(SPAN)), len(own) - SPAN))
-            span = own[a : a + SPAN]
-            x.append(np.concatenate([of[span], none[len(span) :]]))
-            y.append(np.concatenate([(is_mark[a : a + SPAN] & bool(toxic)).astype(np.int8), np.full(SPAN - len(span), -1, np.int8)]))
-    x, y = np.stack(x), np.stack(y)
-    # some places show only a beginning of their word, so that weights go to what words have in common
-    shown = rng.integers(2, width + 1, x.shape[:2])[:, :, None]
-    order = np.arange(width)[None, None]  # the whole word, then its beginnings
-    x = np.where((order < shown) & ((order > 0) | (shown == width)), x, 0)
+    return (hashes * scale).min(1).view(np.int64).tolist()
+
+
+def copy_groups(hashes: list[list[int]]) -> list[int]:
+    """A group's number for each text, from least_hashes(): texts with the same two least hashes
+    in any band are one group. Copies of a document are one witness, not many."""
+    forest, first = Forest(), {}
+    for i, least in enumerate(hashes):
+        for b in range(0, len(least), 2):
+            forest.join(first.setdefault((b, least[b], least[b + 1]), i), i)
+    return [forest.root(i) for i in range(len(hashes))]
+
+
+def feature_counts(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """feature, toxic (array: groups with the feature at least TIMES times), clean (likewise), of
+    rows (grp, toxic, text). A group's copies count as one with the largest number of each.
+
+    A task has whole groups and adds up what it sees; what it holds is passed on at `most` features.
+    """
+    width = len(TIMES)
+
+    def run(batches):
+        found: dict[str, list[int]] = {}
+        open_key, held = None, Counter()
+
+        def close():
+            shift = 0 if open_key[1] else width
+            for f, n in held.items():
+                counts = found.setdefault(f, [0] * (2 * width))
+                for j, times in enumerate(TIMES):
+                    counts[shift + j] += n >= times
+            held.clear()
+
+        def passed():
+            out = pa.record_batch([pa.array(list(found)), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(2 * width))], ["feature", *(f"c{j}" for j in range(2 * width))])
+            found.clear()
+            return out
+
+        for batch in small_batches(batches):
+            for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                if key != open_key:
+                    if open_key is not None:
+                        close()
+                    open_key = key
+                    if len(found) >= most:
+                        yield passed()
+                own: Counter = Counter()
+                for token, n in Counter(_TOKEN.findall(text)).items():
+                    for f in token_features(token):
+                        own[f] += n
+                held |= own  # the larger number of each
+        if open_key is not None:
+            close()
+        if found:
+            yield passed()
+
+    ordered = rows.select("grp", "toxic", "text").repartition("grp").sortWithinPartitions("grp", "toxic")
+    partial = ordered.mapInArrow(run, "feature string, " + ", ".join(f"c{j} long" for j in range(2 * width)))
+    return partial.groupBy("feature").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(2 * width)))
+
+
+def sure_features(counts: DataFrame, base: float) -> list[str]:
+    """Features that mark toxic documents beyond doubt; they are as few as the bounded sample can prove."""
+    width = len(TIMES)
+    tests = max(counts.count(), 1) * width
+    k, n = [F.col(f"c{j}") for j in range(width)], [F.col(f"c{j}") + F.col(f"c{width + j}") for j in range(width)]
+    marks = reduce(Column.__or__, (beyond_doubt(a, b, base, tests) for a, b in zip(k, n, strict=True)))
+    return sorted(r.feature for r in counts.where(marks).select("feature").collect())
+
+
+def pieces(places: list[int], n: int, around: int = AROUND, longest: int = SPAN) -> list[tuple[int, int]]:
+    """Stretches (start, end) of n tokens around all places; those that touch are one, up to `longest`."""
+    out: list[list[int]] = []
+    for i in places:
+        a, b = max(0, i - around), min(n, i + around + 1)
+        if out and a <= out[-1][1]:
+            if b - out[-1][0] <= longest:
+                out[-1][1] = b
+                continue
+            a = min(max(a, out[-1][1]), i)
+            out[-1][1] = min(out[-1][1], a)
+        out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def learnt_pieces(rows: DataFrame, features: list[str]) -> DataFrame:
+    """pattern and weight of all pieces of rows (share, toxic, text) around tokens with known features.
+
+    A pattern is the label and, for each token, the numbers of its features; equal ones add up,
+    as far as their documents count.
+    """
+    number = {f: i for i, f in enumerate(features)}
+
+    def run(batch):
+        found: Counter = Counter()
+        known: dict[str, str] = {}
+        for share, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kinds = []
+            for t in _TOKEN.findall(text):
+                if t not in known:
+                    known[t] = ",".join(str(number[f]) for f in token_features(t) if f in number)
+                kinds.append(known[t])
+            for a, b in pieces([i for i, k in enumerate(kinds) if k], len(kinds)):
+                found[f"{toxic};" + ";".join(kinds[a:b])] += share
+        return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["pattern", "weight"])
+
+    return per_batch(rows.select("share", "toxic", "text"), run, "pattern string, weight double").groupBy("pattern").agg(F.sum("weight").alias("weight"))
+
+
+def fit(patterns: list[tuple[str, float]], features: list[str], rounds: int = 150, rate: float = 0.2, ridge: float = 1e-3, seed: int = 7) -> Field:
+    """A field from learnt_pieces(), by Adam's steps on the likelihood of all pieces.
+
+    Every piece comes twice, once with only the first features of each token, as many as chance
+    wants, so that weights go to what words have in common and new forms of them are found.
+    """
+    patterns = sorted(patterns)
+    parsed = [(p[0] == "1", [[int(f) + 1 for f in k.split(",")] if k else [] for k in p[2:].split(";")]) for p, _ in patterns]
+    length, width = max(len(kinds) for _, kinds in parsed), max(len(k) for _, kinds in parsed for k in kinds)
+    x = np.zeros((len(parsed), length, width), np.int64)  # 0 stands for no feature
+    y = np.full((len(parsed), length), -1, np.int8)
+    for r, (toxic, kinds) in enumerate(parsed):
+        for i, k in enumerate(kinds):
+            x[r, i, : len(k)] = k
+            y[r, i] = bool(k) and toxic
+    first = np.random.default_rng(seed).integers(1, width + 1, x.shape[:2])[:, :, None]
+    first = 1 + (first - 1) % np.maximum((x > 0).sum(2, keepdims=True), 1)
+    x = np.concatenate([x, np.where(np.arange(width)[None, None] < first, x, 0)])
+    y = np.concatenate([y, y])
     mask = y >= 0
-    weights, moves, bias = np.zeros(len(names) + 1), np.zeros((2, 2)), -3.0
+    each = np.array([w for _, w in patterns] * 2)
+    each = each / each.sum()
+    weights, moves, bias = np.zeros(len(features) + 1), np.zeros((2, 2)), -3.0
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros(5), np.zeros(5)]
-    total = mask.sum()
+    both = mask[:, 1:]
+    seen = np.array([[(each[:, None] * (both & (y[:, :-1] == a) & (y[:, 1:] == b))).sum() for b in (0, 1)] for a in (0, 1)])
     for r in range(1, rounds + 1):
         emit = weights[x].sum(2) + bias
-        p1, pairs = _expectations(emit, moves, mask)
-        gap = np.where(mask, (y == 1) - p1, 0.0)
-        g_w = np.bincount(x.ravel(), np.repeat(gap.ravel(), width), len(weights)) / len(x) - ridge * weights
+        p1, pairs = _expectations(emit, moves, mask, each)
+        gap = np.where(mask, (y == 1) - p1, 0.0) * each[:, None]
+        g_w = np.bincount(x.ravel(), np.repeat(gap.ravel(), width), len(weights)) - ridge * weights
         g_w[0] = 0
-        both = mask[:, 1:]
-        seen = np.array([[(both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
-        g_s = np.append((seen - pairs).ravel() / total, gap.sum() / total) - ridge * np.append(moves.ravel(), 0)
+        g_s = np.append((seen - pairs).ravel(), gap.sum()) - ridge * np.append(moves.ravel(), 0)
         for k, g in ((0, g_w), (2, g_s)):
             state[k] = 0.9 * state[k] + 0.1 * g
             state[k + 1] = 0.99 * state[k + 1] + 0.01 * g * g
@@ -236,12 +320,39 @@ def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 0.2, ridge
         weights[0] = 0
         moves += steps[1][:4].reshape(2, 2)
         bias += steps[1][4]
-    return Field({f: float(weights[number[i]]) for i, f in names.items()}, float(bias), moves)
-
-
-def _expectations(emit: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of label 1 and expected counts of label pairs, for all spans at a time."""
+    return Field({f: float(w) for f, w in zip(features, weights[1:], strict=True)}, float(bias), moves)
+
+
+def fit_verdict(rows: list[tuple[int, float, int, float]], ridge: float = 1e-2) -> tuple[float, float, float]:
+    """A logistic regression's weights from (tokens, expected toxic ones, label, weight) of
+    documents with tagged tokens, by Newton's steps; none of the last two is negative, so that
+    more toxic tokens never lower a score."""
+    if not rows:
+        return 0.0, 1.0, 0.0
+    x = np.array([totals(n, s) for n, s, _, _ in rows])
+    y, w = np.array([t for _, _, t, _ in rows], float), np.array([v for _, _, _, v in rows])
+    w = w * len(w) / w.sum()
+    used = [0, 1, 2]
+    while True:
+        b = np.zeros(len(used))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x[:, used] @ b, -40, 40)))
+            g = x[:, used].T @ (w * (y - p)) - ridge * b
+            h = (x[:, used] * (w * p * (1 - p))[:, None]).T @ x[:, used] + ridge * np.eye(len(used))
+            step = np.linalg.solve(h, g)
+            b = b + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        lowest = min(used[1:], key=lambda j: b[used.index(j)], default=0)
+        if not lowest or b[used.index(lowest)] >= 0:
+            out = np.zeros(3)
+            out[used] = b
+            return tuple(out.tolist())
+        used.remove(lowest)
+
+
+def _expectations(emit: np.ndarray, moves: np.ndarray, mask: np.ndarray, each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of label 1 and expected counts of label pairs, for all pieces at a time; each: their weights."""
     n, length = emit.shape
+    each = np.ones(n) if each is None else each
     e = np.stack([np.ones_like(emit), np.exp(np.clip(emit, -40, 40))], 2)
     e[~mask] = 1.0
     move = np.exp(moves)
@@ -259,7 +370,7 @@ def _expectations(emit: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tupl
     for t in range(1, length):
         m = forward[t - 1][:, :, None] * move[None] * (e[:, t] * backward[t])[:, None, :]
         m /= m.sum((1, 2), keepdims=True)
-        pairs += m[mask[:, t]].sum(0)
+        pairs += (m * (each * mask[:, t])[:, None, None]).sum(0)
     return p1, pairs
 
 
@@ -268,43 +379,91 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_bytes: int = ROW_BYTES) -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows, the same each time: of either label those with the least hashes.
+def _marks(docs: DataFrame, labels: DataFrame, row_bytes: int) -> DataFrame:
+    """doc_id and toxic of the labels to learn from."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("n")).where(F.col("n") <= row_bytes).select("doc_id")
+    return marks.join(sizes, "doc_id", "left_semi")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_bytes: int = ROW_BYTES) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of a bounded sample of labelled rows, the same each time: of either label those with the least hashes.
 
     Only rows that are not held out; of several labels of a document the largest counts; other
     labels than 0 and 1 and texts of over row_bytes are not used.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("n")).where(F.col("n") <= row_bytes).select("doc_id")
-    marks = marks.join(sizes, "doc_id", "left_semi")
+    return _sampled(_marks(docs, labels, row_bytes), toxic_rows, clean_rows)
+
+
+def _sampled(marks: DataFrame, toxic_rows: int, clean_rows: int) -> list[tuple[int, int]]:
     some = lambda toxic, n: marks.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = some(1, toxic_rows).unionByName(some(0, clean_rows))
-    label_of = {r.doc_id: r.toxic for r in chosen.collect()}  # at most toxic_rows + clean_rows
-    ids = docs.sparkSession.createDataFrame(list(label_of.items()), "doc_id long, toxic int")
-    texts = doc_texts(docs).where(F.octet_length("text") <= row_bytes).join(F.broadcast(ids.select("doc_id")), "doc_id")
+    return sorted((r.doc_id, r.toxic) for r in some(1, toxic_rows).unionByName(some(0, clean_rows)).collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_bytes: int = ROW_BYTES) -> Field:
+    """The field of a bounded labelled sample; one that finds nothing if labels or marks are missing.
+
+    Texts stay in tasks: to the driver go, for each of the sample's rows, its label, 16 hashes and
+    its totals, and beside them the sure features and the distinct pieces around them.
+    """
+    spark = docs.sparkSession
+    marks = written(_marks(docs, labels, row_bytes), "toxicity-labels")
+    chosen = _sampled(marks, toxic_rows, clean_rows)
+    drawn = Counter(t for _, t in chosen)
+    if len(drawn) < 2:
+        return Field()
+    ids = F.broadcast(spark.createDataFrame([(d,) for d, _ in chosen], "doc_id long"))
+    texts = doc_texts(docs).where(F.octet_length("text") <= row_bytes).join(ids, "doc_id")
     # rows repeated with one id count once
-    found = {r.doc_id: r.text for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    return [(found[d], label_of[d]) for d in sorted(found)]
+    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "toxicity-sample").repartition(spark.sparkContext.defaultParallelism)
+
+    def hashed(batch):
+        return pa.record_batch([batch.column(0), pa.array([least_hashes(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "least"])
+
+    hashes = {r.doc_id: r.least for r in per_batch(texts, hashed, "doc_id long, least array<long>").collect()}
+    group_of = dict(zip(hashes, copy_groups(list(hashes.values())), strict=True))
+    sizes = Counter((group_of[d], t) for d, t in chosen)
+    witnesses = Counter(t for _, t in sizes)
+    known = [(d, t, group_of[d], 1 / sizes[group_of[d], t]) for d, t in chosen]
+    rows = written(texts.join(F.broadcast(spark.createDataFrame(known, "doc_id long, toxic int, grp int, share double")), "doc_id"), "toxicity-rows")
+    features = sure_features(written(feature_counts(rows), "toxicity-features"), witnesses[1] / len(sizes))
+    found = [(r.pattern, r.weight) for r in learnt_pieces(rows, features).collect()] if features else []
+    if not found:
+        return Field()
+    field = fit(found, features)
 
+    def summed(batch):
+        out = []
+        for share, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, _, p = field.evidence(text)
+            tagged = p[p >= TAGGED]
+            if len(tagged):
+                out.append((n, float(tagged.sum()), toxic, share))
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.int32(), pa.float64()), strict=True)], ["n", "expected", "toxic", "share"]) if out else None
 
-def train(docs: DataFrame, labels: DataFrame) -> Field:
-    return fit(training_rows(docs, labels))
+    # what a sampled document stands for
+    every = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    stands = {t: every[t] / drawn[t] for t in drawn}
+    evidence = per_batch(rows.select("share", "toxic", "text"), summed, "n long, expected double, toxic int, share double").collect()
+    field.verdict = fit_verdict(sorted((r.n, r.expected, r.toxic, r.share * stands[r.toxic]) for r in evidence))
+    return field
 
 
 def score_documents(docs: DataFrame, field: Field, text: str = "text", key: str = "doc_id", with_spans: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.7) and, if asked, spans for every row.
 
     Null and empty texts score 0; null keys are never held out; repeated rows are scored each;
-    further columns are ignored; an empty table gives no rows; a text is read whole.
+    further columns, whatever their names, are ignored; an empty table gives no rows; a text is
+    read whole. spans: (start, end, probability) of the toxic tokens, by character.
     """
     schema = "doc_id long, score double" + ", spans array<struct<start:int,end:int,probability:double>>" * with_spans
 
     def run(batch):
-        texts = batch.column(1).to_pylist()
-        out = [batch.column(0), pa.array([field.score(t) for t in texts], pa.float64())]
+        found = [field.judged(t) if with_spans else (field.score(t), None) for t in batch.column(1).to_pylist()]
+        out = [batch.column(0), pa.array([s for s, _ in found], pa.float64())]
         if with_spans:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
-            out.append(pa.array([[{"start": a, "end": b, "probability": p} for a, b, p in field.spans(t)] for t in texts], kind))
+            out.append(pa.array([[{"start": a, "end": b, "probability": p} for a, b, p in spans] for _, spans in found], kind))
         return pa.record_batch(out, ["doc_id", "score", *["spans"] * with_spans])
 
     scored = per_batch(doc_texts(docs, text, key), run, schema)
@@ -312,7 +471,7 @@ def score_documents(docs: DataFrame, field: Field, text: str = "text", key: str
 
 
 def drop_toxic(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold; null and empty texts stay."""
     at = docs.columns.index("text")
 
     def run(batch):

@@ -5,6 +5,7 @@ In every stratum the bad holdouts and a third of the good ones give a list of cu
 first. The other good holdouts then test the rules together: cutoffs of the list are added one by
 one, as long as an exact binomial bound says that all so far would reject at most a set share of
 good documents. The rules share that bound; the error probability is divided among strata only.
+The bounds need independent witnesses, so of near copies with one label only one counts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenstep.llm.common import per_batch, written
+from evenstep.llm.witnesses import least_hashes, witness_groups
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,6 +30,10 @@ STEPS = {r: 10 if r == "length" else 500 for r in RULES}
 TOP = 1000
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long"
 ALPHA, DELTA = 0.03, 0.05
+#: A helper column, unlike any of a table's own.
+KEY = "__evenstep_key"
+#: Labelled ids (8 bytes each) up to which they are broadcast, so that only labelled texts are read closely.
+MOST_BROADCAST = 2_000_000
 
 
 def repeated_words(words: list, width: int = 3) -> int:
@@ -74,15 +80,19 @@ def features(text: str) -> tuple[int, ...]:
 _CAPITALS = bytes(range(65, 91))
 
 
-def document_features(docs: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and FEATURES for every row; null text has no words, a null stratum is ''."""
+def document_features(docs: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", with_hashes: bool = False) -> DataFrame:
+    """doc_id, stratum and FEATURES for every row; null text has no words, a null stratum is ''.
+    On request also least (array): least_hashes() of the text."""
 
     def run(batch):
-        columns = list(zip(*map(features, batch.column(2).to_pylist()), strict=True))
-        return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "stratum", *(x.split()[0] for x in FEATURES.split(", "))])
+        texts = batch.column(2).to_pylist()
+        columns = [pa.array(c, pa.int64()) for c in zip(*map(features, texts), strict=True)]
+        if with_hashes:
+            columns.append(pa.array([least_hashes(t) for t in texts], pa.list_(pa.int64())))
+        return pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "stratum", *(x.split()[0] for x in FEATURES.split(", ")), *["least"] * with_hashes])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return per_batch(rows, run, f"doc_id long, stratum string, {FEATURES}")
+    return per_batch(rows, run, f"doc_id long, stratum string, {FEATURES}" + ", least array<long>" * with_hashes)
 
 
 def figures() -> dict[str, Column]:
@@ -185,18 +195,35 @@ def testable(sizes: dict[str, tuple[int, int]], alpha: float, delta: float) -> d
     return {s: sizes[s] for s in order[:most]}
 
 
-def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
+def holdouts(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """stratum, part (0 bad, 1 good for the list, 2 good for the tests) and step (each rule's
+    figure) of labelled documents that the base rules keep, one for each label of each group of
+    near copies: the row whose doc_id has the least hash. labels: doc_id, quality 0 or 1.
+
+    A group's good document is for the list or for the tests by the hash of the group. Ids that
+    are too many to broadcast are joined to the features of all documents.
+    """
+    quality = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    quality = written(quality, "quality-labels")
+    ids = quality.select(F.col("doc_id").alias(KEY))
+    if quality.count() <= most_broadcast:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col(KEY), "left_semi")
+    found = document_features(docs, with_hashes=True).where(~base_failed()).join(quality, "doc_id")
+    found = written(found.select("doc_id", "stratum", "quality", "least", F.struct(*(c.alias(r) for r, c in figures().items())).alias("step")), "quality-labelled")
+    groups = witness_groups(found.select("doc_id", "least"))
+    part = F.when(F.col("quality") == 0, 0).when(F.pmod(F.xxhash64("group"), F.lit(3)) == 0, 1).otherwise(2).alias("part")
+    each = found.join(groups, "doc_id").select("group", "quality", part, F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id", "stratum", "step").alias("row"))
+    return each.groupBy("group", "quality", "part").agg(F.min("row").alias("row")).select("row.stratum", "part", "row.step")
+
+
+def thresholds(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
     """Cutoffs by stratum and rule from all labelled rows (labels: doc_id, quality 0 or 1).
 
-    Holdouts that the base rules reject don't count. Strata with too few good holdouts to be
-    certain of anything get no cutoffs, which also bounds what goes to the driver: counts for at
-    most (good holdouts / fewest) strata.
+    Strata with too few good holdouts to be certain of anything get no cutoffs, which also bounds
+    what goes to the driver: counts for at most (good holdouts / fewest) strata.
     """
     fewest = int(log(delta) / log1p(-alpha))
-    quality = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # part: 0 bad, 1 good for the list, 2 good for the tests
-    part = F.when(F.col("quality") == 0, 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, 1).otherwise(2).alias("part")
-    held = written(feats.where(~base_failed()).join(quality, "doc_id").select("stratum", part, F.struct(*(c.alias(r) for r, c in figures().items())).alias("step")), "quality-holdouts")
+    held = written(holdouts(docs, labels), "quality-holdouts")
     enough = held.groupBy("stratum").agg(F.count_if(F.col("part") == 1).alias("seen"), F.count_if(F.col("part") == 2).alias("tests")).where((F.col("tests") >= fewest) & (F.col("seen") > 0))
     sizes = testable({r.stratum: (r.seen, r.tests) for r in enough.collect()}, alpha, delta)
     if not sizes:
@@ -229,21 +256,29 @@ def rejected_by_rule(cutoffs: dict[str, dict[str, int]]) -> Column:
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
+    cutoffs (those of the row's stratum, as "rule>cutoff", comma-joined; '' where it has none) for every row.
 
     Null and empty texts have no words and fail the base rules. Null keys have no label, repeated
     rows are judged each, a null language is a stratum of its own, labels other than 0 and 1
-    and of unknown documents are ignored, of several labels of a document the least counts.
+    and of unknown documents are ignored, of several labels of a document the least counts; of
+    near copies with one label one counts. Further columns, whatever their names, are ignored.
     An empty table gives no rows; without enough labels only the base rules reject.
     """
-    feats = written(document_features(docs), "quality-features")
-    kept = ~(base_failed() | rejected_by_rule(thresholds(feats, labels, alpha, delta)))
-    return feats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"))
+    cutoffs = thresholds(docs, labels, alpha, delta)
+    kept = ~(base_failed() | rejected_by_rule(cutoffs))
+    named = F.lit("")
+    for stratum, rules in sorted(cutoffs.items()):
+        named = F.when(F.col("stratum") == stratum, ",".join(f"{r}>{c}" for r, c in sorted(rules.items()))).otherwise(named)
+    return document_features(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"), named.alias("cutoffs"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs, all columns, that the base rules and the chosen thresholds keep."""
-    cutoffs = thresholds(written(document_features(docs), "quality-features"), labels, alpha, delta)
+    """The rows of docs, all columns, that the base rules and the chosen thresholds keep.
+
+    docs needs the columns doc_id, text and lang. Edge cases are those of quality_verdicts().
+    """
+    cutoffs = thresholds(docs, labels, alpha, delta)
     at_text, at_stratum = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batch):

@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenstep.llm.common import doc_texts, per_batch, small_batches, written
-from evenstep.llm.components import Forest
-from evenstep.llm.simhash import shingle_hashes
+from evenstep.llm.witnesses import copy_groups, least_hashes
 
 THRESHOLD = 0.7
 #: Bounds of the labelled sample that the field is fitted on: rows of either label, and bytes of a row.
@@ -166,23 +165,6 @@ def totals(n: int, expected: float) -> tuple[float, float, float]:
 _CACHES: dict[str, dict[str, float | None]] = {}
 
 
-def least_hashes(text: str, bands: int = 8) -> list[int]:
-    """The least hashes of a text's shingles under 2 * bands permutations, as signed numbers."""
-    hashes = np.array(shingle_hashes(text) or [0], np.uint64)
-    scale = np.random.default_rng(1).integers(1, 1 << 62, (2 * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return (hashes * scale).min(1).view(np.int64).tolist()
-
-
-def copy_groups(hashes: list[list[int]]) -> list[int]:
-    """A group's number for each text, from least_hashes(): texts with the same two least hashes
-    in any band are one group. Copies of a document are one witness, not many."""
-    forest, first = Forest(), {}
-    for i, least in enumerate(hashes):
-        for b in range(0, len(least), 2):
-            forest.join(first.setdefault((b, least[b], least[b + 1]), i), i)
-    return [forest.root(i) for i in range(len(hashes))]
-
-
 def feature_counts(rows: DataFrame, most: int = 500_000) -> DataFrame:
     """feature, toxic (array: groups with the feature at least TIMES times), clean (likewise), of
     rows (grp, toxic, text). A group's copies count as one with the largest number of each.

@@ -21,23 +21,108 @@ from evenstep.llm.common import doc_texts, per_batch
 # Phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Templates: label, wording, and the key phrase in it that must stand in a file word for word.
-TEMPLATES = (
+# Notices of licences: label, wording, and the key phrase in it that must stand in a
+# file word for word. What stands in for names and years in them is left out.
+NOTICES = (
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software.""",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
+        or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied.""",
+        "apache license version 2",
+    ),
     ("gpl-3", "this file is covered by the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2", "this file is covered by the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl-3", "under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy modify and or distribute"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike license", "creative commons attribution sharealike"),
+    (
+        "gpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        "gnu general public license as published by the free software foundation either version 3",
+    ),
+    (
+        "gpl-2",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+        "gnu general public license as published by the free software foundation either version 2",
+    ),
+    (
+        "gpl-3",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+        "gnu general public license as published by the free software foundation version 3",
+    ),
+    (
+        "gpl-2",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+        "gnu general public license as published by the free software foundation version 2",
+    ),
+    ("gpl-3", "released under the gnu gpl version 3", "gnu gpl version 3"),
+    ("gpl-2", "released under the gnu gpl version 2", "gnu gpl version 2"),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+        version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.""",
+        "gnu lesser general public license",
+    ),
+    ("lgpl", "under the terms of the gnu library general public license", "gnu library general public license"),
+    (
+        "agpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+        "gnu affero general public license",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        "redistribution and use in source and binary forms",
+    ),
+    (
+        "mpl-2",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        "mozilla public license",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies.""",
+        "permission to use copy modify and or distribute",
+    ),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution sharealike"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0 universal"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+        "free and unencumbered software",
+    ),
 )
+# Identifiers of licences in SPDX lines, of which later words (such as "or later") may follow.
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "GPL-3.0": "gpl-3", "GPL-2.0": "gpl-2", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl-3",
+    "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "MPL-2.0": "mpl-2", "ISC": "isc", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-SA-4.0": "cc-by-sa",
+    "CC0-1.0": "cc0", "Unlicense": "unlicense",
+}
+#: Templates: label, wording and key phrase of each notice and of each SPDX line.
+TEMPLATES = (*NOTICES, *((label, f"SPDX-License-Identifier: {name}", f"spdx license identifier {name}") for name, label in SPDX.items()))
 
 #: Bytes that stand in words: digits, letters in lower case and all of non-ASCII characters.
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))

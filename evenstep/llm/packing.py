@@ -53,6 +53,23 @@ def byte_encoder(path: str):
     return ids
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of each id's text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    sizes = {i: len(s) for s, i in spec["model"]["vocab"].items()} | {i: len(s.encode()) for s, i in special.items()}
+    out = np.zeros(max(sizes) + 1, np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+def leading_tokens(ids: np.ndarray, sizes: np.ndarray, n_bytes: int) -> int:
+    """How many of the first ids lie wholly in the first n_bytes bytes."""
+    return int(np.searchsorted(np.cumsum(sizes[ids[:n_bytes]]), n_bytes, "right")) if n_bytes else 0
+
+
 def dot_product_packing(items: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Bins of item numbers; items: (n, d) non-negative, each within the limits alone.
 
@@ -94,28 +111,33 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_lengths(lengths: np.ndarray, most: int = 2048, segments: int = 256, loss: int = 2048, lossless: int = 0, least_tail: int = 64) -> list[list[tuple[int, int, int]]]:
+def first_line(text: str) -> int:
+    """Characters of a text's prompt by a plain rule: its first line with the break; none if it is all there is."""
+    return text.find("\n") + 1
+
+
+def pack_lengths(lengths: np.ndarray, most: int = 2048, segments: int = 256, loss: int = 2048, lossless: int = 0, least_tail: int = 64, prompts: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length) for documents of the given token counts.
 
-    Full sequences are cut off a document's front while it is longer than most; the rest is
-    packed by vectors. Afterwards the emptiest sequences are dissolved: their pieces, cut as
-    needed, fill the gaps of the others, within the limits. A last sequence with a gap is cut
-    into powers of two (sequences of such a length need no padding) down to least_tail.
-    loss: limit of loss-bearing tokens; lossless: tokens at each piece's start that bear none.
+    Documents longer than a sequence are cut into pieces that are as long as the limits let them
+    be; pieces are packed by vectors. Afterwards the emptiest sequences are dissolved: their
+    pieces, cut as needed, fill the gaps of the others, within the limits. A sequence that still
+    has a gap is cut into powers of two (which need no padding) down to least_tail.
+    loss: limit of loss-bearing tokens; tokens without loss are a document's first `prompts`
+    ones and the first `lossless` of each piece.
     """
+    until = [0] * len(lengths) if prompts is None else np.minimum(prompts, lengths).tolist()
+    bears = lambda d, at, n: max(at + n - max(at + lossless, until[d]), 0)
+    within = lambda d, at, room: room + max(lossless, until[d] - at)  # noqa: E731  (the longest piece for this room)
     done: list[list[tuple[int, int, int]]] = []
     rest: list[tuple[int, int, int]] = []
-    bears = lambda n: max(n - lossless, 0)
-    cut = min(most, loss + lossless)
     for d, n in enumerate(lengths.tolist()):
         at = 0
-        while n - at >= cut:
-            done.append([(d, at, cut)])
-            at += cut
-        if n > at:
-            rest.append((d, at, n - at))
-    sizes = np.array([n for _, _, n in rest], np.int64)
-    vectors = np.stack([sizes, np.ones_like(sizes), np.maximum(sizes - lossless, 0)], 1) if len(sizes) else np.zeros((0, 3), np.int64)
+        while at < n:
+            size = min(n - at, most, within(d, at, loss))
+            (done.append([(d, at, size)]) if size == most else rest.append((d, at, size)))
+            at += size
+    vectors = np.array([(n, 1, bears(d, at, n)) for d, at, n in rest], np.int64).reshape(-1, 3)
     bins = [[rest[i] for i in own] for own in dot_product_packing(vectors, np.array([most, segments, loss]))]
     fill = lambda own: sum(n for _, _, n in own)
     bins.sort(key=lambda own: (-fill(own), own))
@@ -123,15 +145,16 @@ def pack_lengths(lengths: np.ndarray, most: int = 2048, segments: int = 256, los
     low, high = 0, len(gaps) - 1
     while low < high:  # the emptiest bin feeds the fullest that has a gap
         to, source = bins[gaps[low]], bins[gaps[high]]
-        gap = min(most - fill(to), loss - sum(bears(n) for _, _, n in to) + lossless)
-        if gap <= 0 or len(to) >= segments:
+        gap, room = most - fill(to), loss - sum(bears(*p) for p in to)
+        # the piece of which most fits, the last of equal ones
+        take, k = max((min(n, gap, within(d, at, room)), k) for k, (d, at, n) in enumerate(source))
+        if take <= 0 or len(to) >= segments:
             low += 1
             continue
-        d, at, n = source.pop()
-        take = min(n, gap)
+        d, at, n = source.pop(k)
         to.append((d, at, take))
         if n > take:
-            source.append((d, at + take, n - take))
+            source.insert(k, (d, at + take, n - take))
         if not source:
             high -= 1
     out = done
@@ -153,10 +176,16 @@ def pack_lengths(lengths: np.ndarray, most: int = 2048, segments: int = 256, los
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 2048, segments: int = 256, loss: int | None = None, lossless: int = 0, window_tokens: int = 4 << 20, text: str = "text", key: str = "doc_id", ids_of: Callable[[str], Callable[[str], np.ndarray]] = byte_encoder) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, most: int = 2048, segments: int = 256, loss: int | None = None, lossless: int = 0, window_tokens: int = 1 << 20, text: str = "text", key: str = "doc_id",
+    prompt: Callable[[str], int] | None = None, ids_of: Callable[[str], Callable[[str], np.ndarray]] = byte_encoder,
+) -> DataFrame:
     """Packs every document's ids, then END_ID, into sequences: one row per piece (PIECES).
 
-    No shuffle: each task packs windows of window_tokens ids (16 MB) of its own rows, so the
+    A sequence has at most `most` tokens, `segments` pieces and `loss` tokens that bear loss. prompt
+    says how many of a text's first characters are a prompt, whose tokens bear none.
+
+    No shuffle: each task packs windows of window_tokens ids (4 MB) of its own rows, so the
     memory does not grow with the input. sequence_id is the task's number and a count, unique
     but with gaps. Null text is empty and has one token; null keys stay null; repeated rows are
     packed each; further columns are ignored; an empty table gives no rows. The input should
@@ -167,20 +196,21 @@ def pack_documents(docs: DataFrame, path: str, most: int = 2048, segments: int =
     def run(batches: Iterator[pa.RecordBatch]):
         number = TaskContext.get().partitionId() << 40
         encode = ids_of(path)
-        names, held, tokens = [], [], 0
+        sizes = token_bytes(path) if prompt else None
+        names, held, prompts, tokens = [], [], [], 0
 
         def flush():
             nonlocal number
             columns = [[] for _ in range(8)]
-            for sequence in pack_lengths(np.array([len(x) for x in held], np.int64), most, segments, loss, lossless):
+            for sequence in pack_lengths(np.array([len(x) for x in held], np.int64), most, segments, loss, lossless, prompts=np.array(prompts, np.int64)):
                 offset = 0
                 for d, at, n in sequence:
                     crc = zlib.crc32(held[d][at : at + n].astype("<u4").tobytes())
-                    for column, value in zip(columns, (names[d], at, n, crc, len(held[d]), number, offset, max(n - lossless, 0)), strict=True):
+                    for column, value in zip(columns, (names[d], at, n, crc, len(held[d]), number, offset, max(at + n - max(at + lossless, prompts[d]), 0)), strict=True):
                         column.append(value)
                     offset += n
                 number += 1
-            names.clear(), held.clear()
+            names.clear(), held.clear(), prompts.clear()
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in PIECES.split(", ")])
 
         for batch in small_batches(batches):
@@ -188,6 +218,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = 2048, segments: int =
                 ids = np.append(encode(t), np.uint32(END_ID))
                 names.append(name)
                 held.append(ids)
+                prompts.append(leading_tokens(ids[:-1], sizes, len(t[: prompt(t)].encode())) if prompt else 0)
                 tokens += len(ids)
                 if tokens >= window_tokens:
                     yield flush()

@@ -10,12 +10,14 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
+from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenstep.functions.dtypes import promoted, scale_of
-from evenstep.functions.polynomial import Polynomial, add, multiply, poly, scale
+from evenstep.functions.polynomial import Polynomial, add, multiply, poly
 
 log = logging.getLogger(__name__)
 
@@ -38,13 +40,14 @@ FREE = (
 )
 
 
-def volume(shape: Column) -> Column:
-    """The product of a shape's dimensions; 1 for a scalar."""
-    return F.aggregate(shape, poly(1), lambda p, d: multiply(p, _dim(d)))
+def volume(shape: Column, times: Column | int = 1) -> Column:
+    """The product of a shape's dimensions and `times`; `times` for a scalar."""
+    return F.aggregate(shape, poly(times), lambda p, d: multiply(p, poly(d["c0"], d["c1"], 0)))
 
 
-def _dim(d: Column) -> Column:
-    return poly(d["c0"], d["c1"], 0)
+def total(*parts: Column) -> Column:
+    """The sum of polynomials, each of which the plan holds once."""
+    return F.aggregate(F.array(*parts), poly(), add)
 
 
 def _checked(ok: Column, said: str, value: Column) -> Column:
@@ -67,13 +70,15 @@ def _rank(args: Column, i: int) -> Column:
     return F.size(_arg(args, i)["shape"])
 
 
+@cache
 def per_input(factor: int) -> Rule:
     def rule(args: Column, meta: Column) -> Column:
-        return _checked(F.size(args) == 1, "One argument is expected", scale(volume(_arg(args, 0)["shape"]), scale_of(_type(args, 0)) * factor))
+        return _checked(F.size(args) == 1, "One argument is expected", volume(_arg(args, 0)["shape"], scale_of(_type(args, 0)) * factor))
 
     return rule
 
 
+@cache
 def per_output(by_arguments: bool) -> Rule:
     """Operations on each element of the output, at the arguments' common type; by_arguments: one for each argument."""
 
@@ -81,7 +86,7 @@ def per_output(by_arguments: bool) -> Rule:
         n = F.size(args)
         common = F.when(n > 1, promoted(_type(args, 0), _type(args, 1))).otherwise(_type(args, 0))
         factor = scale_of(common) * (n.cast("bigint") if by_arguments else F.lit(1))
-        return _checked(n >= 1, "An argument is expected", scale(volume(meta["shape"]), factor))
+        return _checked(n >= 1, "An argument is expected", volume(meta["shape"], factor))
 
     return rule
 
@@ -92,14 +97,14 @@ def free(args: Column, meta: Column) -> Column:
 
 def mm(args: Column, meta: Column) -> Column:
     ok = (F.size(args) == 2) & (_rank(args, 0) == 2) & (_rank(args, 1) == 2) & (_at(args, 0, 1) == _at(args, 1, 0))
-    size = multiply(multiply(_dim(_at(args, 0, 0)), _dim(_at(args, 0, 1))), _dim(_at(args, 1, 1)))
-    return _checked(ok, "mm expects matrices that fit", scale(size, scale_of(promoted(_type(args, 0), _type(args, 1)))))
+    sizes = F.array(_at(args, 0, 0), _at(args, 0, 1), _at(args, 1, 1))
+    return _checked(ok, "mm expects matrices that fit", volume(sizes, scale_of(promoted(_type(args, 0), _type(args, 1)))))
 
 
 def bmm(args: Column, meta: Column) -> Column:
     ok = (F.size(args) == 2) & (_rank(args, 0) == 3) & (_rank(args, 1) == 3) & (_at(args, 0, 0) == _at(args, 1, 0)) & (_at(args, 0, 2) == _at(args, 1, 1))
-    size = multiply(multiply(_dim(_at(args, 0, 0)), _dim(_at(args, 0, 1))), multiply(_dim(_at(args, 0, 2)), _dim(_at(args, 1, 2))))
-    return _checked(ok, "bmm expects batches of matrices that fit", scale(size, scale_of(promoted(_type(args, 0), _type(args, 1)))))
+    sizes = F.array(_at(args, 0, 0), _at(args, 0, 1), _at(args, 0, 2), _at(args, 1, 2))
+    return _checked(ok, "bmm expects batches of matrices that fit", volume(sizes, scale_of(promoted(_type(args, 0), _type(args, 1)))))
 
 
 def addmm(args: Column, meta: Column) -> Column:
@@ -107,8 +112,9 @@ def addmm(args: Column, meta: Column) -> Column:
     ok = (F.size(args) == 3) & (_rank(args, 1) == 2) & (_rank(args, 2) == 2) & (_at(args, 1, 1) == _at(args, 2, 0))
     inner = promoted(_type(args, 1), _type(args, 2))
     outer = promoted(inner, _type(args, 0))
-    each = add(scale(_dim(_at(args, 1, 1)), scale_of(inner)), poly(scale_of(outer) * 3))
-    return _checked(ok, "addmm expects an addend and matrices that fit", multiply(multiply(_dim(_at(args, 1, 0)), _dim(_at(args, 2, 1))), each))
+    rows, columns = _at(args, 1, 0), _at(args, 2, 1)
+    product, rest = volume(F.array(rows, _at(args, 1, 1), columns), scale_of(inner)), volume(F.array(rows, columns), scale_of(outer) * 3)
+    return _checked(ok, "addmm expects an addend and matrices that fit", total(product, rest))
 
 
 def native_layer_norm(args: Column, meta: Column) -> Column:
@@ -120,7 +126,7 @@ def native_layer_norm(args: Column, meta: Column) -> Column:
     biased = promoted(weighted, _type(args, 2))
     own = scale_of(_type(args, 0))
     last = F.slice(shape, F.size(shape) - rank + 1, rank)
-    return _checked(ok, "native_layer_norm expects an input and a weight and bias of one rank", add(scale(volume(shape), own * 2 + scale_of(weighted) + scale_of(biased)), scale(volume(last), own * 3)))
+    return _checked(ok, "native_layer_norm expects an input and a weight and bias of one rank", total(volume(shape, own * 2 + scale_of(weighted) + scale_of(biased)), volume(last, own * 3)))
 
 
 def default_rules() -> dict[str, Rule]:
@@ -136,6 +142,7 @@ class Registry:
 
     def __init__(self):
         self.rules = default_rules()
+        self._made: tuple | None = None
 
     def register(self, op: str, rule: Rule) -> Rule | None:
         before = self.rules.get(op)
@@ -158,13 +165,22 @@ class Registry:
         return unknown if out is None else out.otherwise(unknown)
 
 
+    def cost(self) -> Column:
+        """The cost of a row of NODES; made once for the same rules and application."""
+        context = SparkContext._active_spark_context
+        key = (context and context.applicationId, tuple(self.rules.items()))
+        if self._made is None or self._made[0] != key:
+            self._made = key, self.dispatch(F.col("target"), F.col("args"), F.col("meta"))
+        return self._made[1]
+
+
 #: The registry that transform() uses unless given another.
 REGISTRY = Registry()
 
 
 def node_costs(nodes: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
     """nodes with the polynomial `cost`."""
-    return nodes.withColumn("cost", registry.dispatch(F.col("target"), F.col("args"), F.col("meta")))
+    return nodes.withColumn("cost", registry.cost())
 
 
 def model_costs(nodes: DataFrame, registry: Registry = REGISTRY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column
@@ -53,19 +54,31 @@ def promote(left: str, right: str) -> str | None:
 
 #: All defined promotions, by "left|right".
 PROMOTIONS = {f"{a}|{b}": c for a, b in product(DTYPES, DTYPES) if (c := promote(a, b)) is not None}
+_LETTERS = "abcdefghijklmnopq"
+#: A letter for each pair's result, row by row; '-' where there is none.
+_CELLS = "".join(_LETTERS[DTYPES.index(c)] if (c := promote(a, b)) else "-" for a, b in product(DTYPES, DTYPES))
 
 
-def _lookup(table: dict, key: Column, missing: Column) -> Column:
-    entries = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    return F.coalesce(F.try_element_at(entries, key), F.raise_error(missing).cast("bigint" if isinstance(next(iter(table.values())), int) else "string"))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that the plan holds once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def scale_of(dtype: Column) -> Column:
     """Relative cost as bigint; raises for unknown types."""
-    return _lookup(SCALE, dtype, F.concat(F.lit("Unknown data type "), F.coalesce(dtype, F.lit("null")))).cast("bigint")
+    table = F.str_to_map(F.lit(",".join(f"{d}:{k}" for d, k in SCALE.items())), F.lit(","), F.lit(":"))
+    said = lambda d: F.raise_error(F.concat(F.lit("Unknown data type "), F.coalesce(d, F.lit("null"))))
+    return let(dtype, lambda d: F.coalesce(F.try_element_at(table, d), said(d).cast("string")).cast("bigint"))
 
 
 def promoted(left: Column, right: Column) -> Column:
     """promote() as a column; raises where promotion is not defined."""
-    key = F.concat_ws("|", left, right)
-    return _lookup(PROMOTIONS, key, F.concat(F.lit("No promotion for "), key))
+    types = F.split(F.lit(" ".join(DTYPES)), " ")
+
+    def found(pair: Column) -> Column:
+        row, column = F.array_position(types, F.substring_index(pair, "|", 1)), F.array_position(types, F.substring_index(pair, "|", -1))
+        cell = F.substr(F.lit(_CELLS), ((row - 1) * len(DTYPES) + column).cast("int"), F.lit(1))
+        result = F.get(types, F.instr(F.lit(_LETTERS), cell) - 1)
+        return F.coalesce(F.when((row > 0) & (column > 0), result), F.raise_error(F.concat(F.lit("No promotion for "), pair)).cast("string"))
+
+    return let(F.concat_ws("|", left, right), found)

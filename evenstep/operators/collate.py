@@ -8,24 +8,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenstep.functions.dtypes import let
+
 BATCH = ("step", "rank", "micro")
+_CONTAINERS = (T.StructType, T.MapType)
+
+
+def _raise(said: str, kind: T.DataType) -> Column:
+    return F.raise_error(F.lit(said)).cast(kind)
+
+
+def _rule(kind: T.DataType, name: str) -> Callable[[Column], Column]:
+    """How an array of a batch's values of one type becomes one value; raises for types without a rule.
+
+    Arrays are joined one after the other; inner arrays must all be of one length. Structs go
+    field by field, maps key by key (of the first value), arrays of structs or maps place by place.
+    """
+    if isinstance(kind, T.UserDefinedType):
+        raise TypeError(f"{name}: sparse vectors are not collated by default; give a rule of your own")
+    if isinstance(kind, T.StructType):
+        rules = [(f.name, _rule(f.dataType, f"{name}.{f.name}")) for f in kind.fields]
+        pick = lambda n: lambda v: v[n]
+        return lambda values: F.struct(*(rule(F.transform(values, pick(n))).alias(n) for n, rule in rules))
+    if isinstance(kind, T.MapType):
+        rule = _rule(kind.valueType, f"{name}[]")
+        of_key = lambda values: lambda k: rule(F.transform(values, lambda v: F.coalesce(v[k], _raise(f"{name}: a key of the first sample is missing in another", kind.valueType))))
+        return lambda values: let(F.map_keys(F.get(values, F.lit(0))), lambda keys: F.map_from_arrays(keys, F.transform(keys, of_key(values))))
+    if not isinstance(kind, T.ArrayType):
+        raise TypeError(f"{name}: no rule to collate {kind.simpleString()}")
+    inner = kind.elementType
+    if isinstance(inner, _CONTAINERS):
+        rule = _rule(inner, f"{name}[]")
+
+        def by_place(values: Column) -> Column:
+            sizes = F.transform(values, lambda v: F.size(v))
+            each = F.transform(F.get(values, F.lit(0)), lambda _, i: rule(F.transform(values, lambda v: F.get(v, i))))
+            return F.when(F.array_min(sizes) == F.array_max(sizes), each).otherwise(_raise(f"{name}: the samples of a batch have lists of unequal length", kind))
+
+        return by_place
+    if isinstance(inner, T.ArrayType):
+
+        def rows(values: Column) -> Column:
+            widths = F.transform(F.flatten(values), lambda r: F.size(r))
+            same = F.coalesce(F.array_min(widths) == F.array_max(widths), F.lit(True))
+            return F.when(same, F.flatten(values)).otherwise(_raise(f"{name}: nested arrays of unequal length are not collated by default; give a rule of your own", kind))
+
+        return rows
+    return F.flatten
 
 
 def concatenated(column: str, kind: T.DataType, order: str = "slot") -> Column:
-    """An aggregate: arrays one after the other in slot order; structs field by field.
+    """An aggregate: a batch's values of a column collated in slot order, by the rules of their type.
 
-    Other types have no rule, as have arrays of arrays of unequal kind: they raise.
+    Types without a rule raise TypeError: a sample's fields must be arrays at the innermost level.
     """
-    if not isinstance(kind, (T.ArrayType, T.StructType)):
-        raise TypeError(f"{column}: no rule to collate {kind.simpleString()}")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("x"))))
-    if isinstance(kind, T.ArrayType):
-        return F.flatten(F.transform(rows, lambda r: r["x"]))
-    for f in kind.fields:
-        if not isinstance(f.dataType, T.ArrayType):
-            raise TypeError(f"{column}.{f.name}: no rule to collate {f.dataType.simpleString()}")
-    # the field's name is bound at once, as the functions run later
-    return F.struct(*(F.flatten(F.transform(rows, (lambda n: lambda r: r["x"][n])(f.name))).alias(f.name) for f in kind.fields))
+    rule = _rule(kind, column)
+    rows = F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("x")))
+    # maps have no order, so slots are compared on their own
+    rows = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)) if "map<" in kind.simpleString() else F.array_sort(rows)
+    return rule(F.transform(rows, lambda r: r["x"]))
 
 
 def collate(rows: DataFrame, *columns: str, by: tuple[str, ...] = BATCH, order: str = "slot", rules: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenstep.functions.cost import transform
 from evenstep.functions.polynomial import Polynomial
-from evenstep.operators.schedule import Batching, schedule
+from evenstep.operators.schedule import Batching, finished, schedule
+from evenstep.sources.datasets import Dataset
 from evenstep.storage import with_position
 
 
@@ -38,12 +41,14 @@ def resize(positions: DataFrame, n: int, total: int) -> DataFrame:
 class Sampler:
     """A dataset's schedule, epoch by epoch.
 
-    samples has idx and size; cost is the model's polynomial. drop_last drops what does not fill
-    all ranks, else the first samples come again. unstable regroups all samples, else each step's.
+    samples is a dataset or a table of idx and size; cost is a model's graph (a node table), whose
+    cost is scaled to the parallel sizes, or a polynomial that is ready. drop_last drops what does
+    not fill all ranks, else the first samples come again. unstable regroups all samples, else each
+    step's. Iteration gives the idx of `rank` in order.
     """
 
-    samples: DataFrame
-    cost: Polynomial
+    samples: DataFrame | Dataset
+    cost: Polynomial | DataFrame
     ranks: int
     global_batch: int
     micro_batch: int
@@ -53,8 +58,19 @@ class Sampler:
     unstable: bool = True
     policy: str = "joint"
     epoch: int = 0
+    tensor_parallel: int = 1
+    context_parallel: int = 1
+    rank: int | None = None
 
     def __post_init__(self):
+        if self.rank is not None and not 0 <= self.rank < self.ranks:
+            raise ValueError("rank must be one of the ranks")
+        if isinstance(self.samples, Dataset):
+            self.samples = self.samples.samples
+        if isinstance(self.cost, DataFrame):
+            self.cost = transform(self.cost, self.tensor_parallel, self.context_parallel)
+        elif self.tensor_parallel != 1 or self.context_parallel != 1:
+            raise ValueError("parallel sizes belong to a graph; a polynomial is taken as it is")
         self.batching = Batching(self.ranks, self.global_batch, self.micro_batch, self.policy)
         self.n = self.samples.count()
 
@@ -78,4 +94,17 @@ class Sampler:
 
     def indices(self, rank: int) -> DataFrame:
         """A rank's idx in order: its place is `place`."""
-        return with_position(self.schedule(rank), "step", "micro", "slot", name="place").select("place", "idx")
+        own = finished(self.schedule(rank), self.total, self.batching)
+        return with_position(own, "step", "micro", "slot", name="place").select("place", "idx")
+
+    def __iter__(self) -> Iterator[int]:
+        """The idx of the sampler's own rank, a partition at a time."""
+        if self.rank is None:
+            raise ValueError("only a sampler with a rank can be iterated")
+        ordered = self.indices(self.rank).repartitionByRange("place").sortWithinPartitions("place")
+        n = 0
+        for row in ordered.toLocalIterator(prefetchPartitions=True):
+            n += 1
+            yield row.idx
+        if n != len(self):
+            raise AssertionError("a rank has another number of samples than its share")

@@ -24,8 +24,8 @@ log = logging.getLogger(__name__)
 
 POLICIES = ("fast", "mem", "joint")
 SCHEDULE = "step long, rank int, micro int, slot int, pos long, idx long, size long, cost long"
-#: Items that one task regroups at a time in an unstable schedule; more are dealt to more tasks.
-MOST_ITEMS = 2_000_000
+#: Batches, and items, that one task regroups in an unstable schedule; the samples are dealt to as many tasks as that takes.
+MOST_BATCHES, MOST_ITEMS = 1024, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def _unstable(rows: DataFrame, n: int, batch: Batching, first_step: int, most_it
         return rows.sparkSession.createDataFrame([], SCHEDULE)
     key = "size" if batch.by_size else "cost"
     batches_n = n // each
-    dealt = min(-(-n // most_items), batches_n)
+    dealt = min(max(-(-batches_n // MOST_BATCHES), -(-n // most_items)), batches_n)
     # each round of the sorted order gives an item to every batch; rounds run to and fro over the parts
     ordered = with_position(rows, key, "size", "idx", "pos", name="place") if dealt > 1 else rows.withColumn("place", F.lit(0).cast("long"))
     turn, slot = F.call_function("div", F.col("place"), F.lit(batches_n).cast("long")), F.pmod("place", F.lit(batches_n).cast("long"))
@@ -165,7 +165,7 @@ def _unstable(rows: DataFrame, n: int, batch: Batching, first_step: int, most_it
                 at = groups.ravel()
                 yield pa.record_batch([pa.array(c) for c in (number, pos[at], idx[at], sizes[at], costs[at])], ["batch", "pos", "idx", "size", "cost"])
 
-    grouped = ordered.select(part.cast("long").alias("part"), "pos", "idx", "size", "cost").repartition(max(dealt, 1), "part").sortWithinPartitions("part")
+    grouped = ordered.select(part.cast("long").alias("part"), "pos", "idx", "size", "cost").repartitionById(dealt, F.col("part").cast("int")).sortWithinPartitions("part")
     grouped = written(grouped.mapInArrow(run, "batch long, pos long, idx long, size long, cost long"), "batches")
     # batches in ascending order; joint sorts those that were balanced by size by their cost
     rank_by = "size" if batch.policy == "mem" else "cost"
@@ -189,9 +189,9 @@ def unstable_schedule(positions: DataFrame, cost: Polynomial, batch: Batching, m
     """SCHEDULE for positions: all samples are regrouped, so a step can have samples of any position.
 
     Batches of G/R samples ascend by their sum; step t gives rank r the batch t*R + r. What is
-    left of a multiple of G comes last, regrouped by itself. Up to most_items samples are
-    regrouped in one task; beyond, the sorted samples are dealt evenly to parts that are regrouped
-    each, which keeps cardinalities, the order of batches and nearly equal sums.
+    left of a multiple of G comes last, regrouped by itself. A task regroups up to MOST_BATCHES
+    batches and most_items samples: the sorted samples are dealt evenly, to and fro, to as many
+    parts as that takes, which keeps cardinalities, the order of batches and nearly equal sums.
     """
     rows, n = _checked(positions, cost, batch)
     whole = n - n % batch.global_batch
@@ -209,7 +209,18 @@ def schedule(positions: DataFrame, cost: Polynomial, batch: Batching, stable: bo
     """The schedule of all ranks, or of one."""
     if rank is not None and not 0 <= rank < batch.ranks:
         raise ValueError("rank must be one of the ranks")
-    began = time.time()
     out = stable_schedule(positions, cost, batch) if stable else unstable_schedule(positions, cost, batch)
-    log.info("Planning a schedule took %.3f s", time.time() - began)
     return out if rank is None else out.where(F.col("rank") == rank)
+
+
+def micro_batch_count(n: int, batch: Batching) -> int:
+    """Micro-batches of n samples over all ranks, as if a rank's samples were cut once."""
+    return -(-(n // batch.ranks) // batch.micro_batch) * batch.ranks
+
+
+def finished(schedule: DataFrame, n: int, batch: Batching) -> DataFrame:
+    """A schedule of n samples as a table, with a log entry on the micro-batches and the time that making it took."""
+    began = time.time()
+    out = written(schedule, "schedule")
+    log.info("Reordering %d micro-batches took %.3f s", micro_batch_count(n, batch), time.time() - began)
+    return out

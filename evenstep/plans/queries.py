@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from evenstep.operators.partition import HEURISTICS, partition
 from evenstep.operators.sampler import Sampler, permute, resize, total_size
 from evenstep.operators.schedule import POLICIES, Batching, schedule, unstable_schedule
 from evenstep.plans import diagnostics as D
+from evenstep.plans.balance_sql import partition_ctes, schedule_ctes
 from evenstep.sources import datasets, graphs, ingest
 from evenstep.storage import with_position, work_path
 from evenstep.streaming.batches import schedule_stream
@@ -239,7 +240,8 @@ _add("trim", partial(_resized, ranks=7, drop_last=True), f"WITH p AS ({_ORDER.fo
 
 
 def _sampler(spark, sf_dir, stable, policy, ranks=R, drop_last=False):
-    return Sampler(_samples(spark, sf_dir), GPT3, ranks, G, M, unstable=not stable, policy=policy, drop_last=drop_last)
+    """A sampler with the cost of the gpt3 graph."""
+    return Sampler(_samples(spark, sf_dir), graphs.graph_nodes(spark, "gpt3"), ranks, G, M, unstable=not stable, policy=policy, drop_last=drop_last)
 
 
 @_query("SELECT CAST(r AS INTEGER) AS rank, CAST(ceil((SELECT count(*) FROM documents) / 4.0) AS BIGINT) AS n FROM range(4) AS t(r)")
@@ -271,8 +273,19 @@ for _policy in POLICIES:
         _add(f"{_kind}_cardinality", lambda s, d, a=_stable, p=_policy: D.cardinalities(_scheduled(s, d, a, p)), _CARDINAL)
         _add(f"{_kind}_rank_order", lambda s, d, a=_stable, p=_policy: D.rank_violations(_scheduled(s, d, a, p), "size" if a and p != "fast" or p == "mem" else "cost"), "SELECT CAST(0 AS BIGINT) AS violations")
         _add(f"{_kind}_micro_order", lambda s, d, a=_stable, p=_policy: D.micro_violations(_scheduled(s, d, a, p), M), "SELECT CAST(0 AS BIGINT) AS violations")
-        _add(f"{_kind}_spread_mem", lambda s, d, a=_stable, p=_policy: D.spread_mem(_scheduled(s, d, a, p)))
-        _add(f"{_kind}_spread_jct", lambda s, d, a=_stable, p=_policy: D.spread_jct(_scheduled(s, d, a, p)))
+        _sql = _RANKED.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + schedule_ctes("f", f"size * ({GPT3.c1} + {GPT3.c2} * size)", _stable, _policy, R, G, M)
+        _add(f"{_kind}_assignment", lambda s, d, a=_stable, p=_policy: _scheduled(s, d, a, p).select("step", "rank", "micro", "slot", "pos", "idx"), _sql + " SELECT step, rank, micro, slot, pos, idx FROM s")
+        _ratio = "(max(total) - min(total)) / min(total) AS spread"
+        _add(
+            f"{_kind}_spread_mem",
+            lambda s, d, a=_stable, p=_policy: D.spread_mem(_scheduled(s, d, a, p)),
+            _sql + f" SELECT step, {_ratio} FROM (SELECT step, rank, CAST(sum(size) AS BIGINT) AS total FROM s GROUP BY 1, 2) GROUP BY 1",
+        )
+        _add(
+            f"{_kind}_spread_jct",
+            lambda s, d, a=_stable, p=_policy: D.spread_jct(_scheduled(s, d, a, p)),
+            _sql + f" SELECT step, micro, {_ratio} FROM (SELECT step, micro, rank, CAST(sum(cost) AS BIGINT) AS total FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        )
 
 
 @_query(_RANKED + f" SELECT pos // {G} AS step, count(*) AS n, CAST(sum(size) AS BIGINT) AS total FROM f GROUP BY 1")
@@ -289,14 +302,14 @@ def unstable_total(spark, sf_dir):
 def unstable_dealt_cardinality(spark, sf_dir):
     """The schedule of a table too large for one task, here with a low limit."""
     s = _sampler(spark, sf_dir, False, "joint")
-    return D.cardinalities(unstable_schedule(s.positions(), GPT3, s.batching, most_items=300))
+    return D.cardinalities(unstable_schedule(s.positions(), s.cost, s.batching, most_items=300))
 
 
 @_query(_CARDINAL.replace("CAST(k AS INTEGER) AS rank, ", "").replace(f", range({R}) AS t(k)", ""))
 def rank_shard(spark, sf_dir):
     """One rank's share of a stable schedule."""
     s = _sampler(spark, sf_dir, True, "joint")
-    return D.cardinalities(schedule(s.positions(), GPT3, s.batching, True, rank=2)).drop("rank")
+    return D.cardinalities(schedule(s.positions(), s.cost, s.batching, True, rank=2)).drop("rank")
 
 
 def _partitioned(spark, sf_dir, heuristic):
@@ -320,7 +333,12 @@ def _partitioned(spark, sf_dir, heuristic):
 
 
 for _h in HEURISTICS:
-    _add(f"partition_{_h}", partial(_partitioned, heuristic=_h))
+    _items = "s AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents), items AS (SELECT 0 AS g, CAST(8 AS BIGINT) AS k, r AS ord, n_chars AS key, r AS id FROM s WHERE r < n // 8 * 8)"
+    _add(
+        f"partition_{_h}",
+        partial(_partitioned, heuristic=_h),
+        f"WITH RECURSIVE {_items}, {partition_ctes('parts', 'items', _h == 'meld')} SELECT CAST(place AS INTEGER) AS place, total, len(ids) AS n FROM parts",
+    )
     _add(
         f"partition_{_h}_shape",
         lambda s, d, h=_h: _partitioned(s, d, h).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("total").cast("bigint").alias("total")),
@@ -385,7 +403,7 @@ def stream_schedule(spark, sf_dir):
     """Each micro-batch of a stream, scheduled by count."""
     path = work_path(spark, "scheduled")
     samples = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), (F.floor("value") + 1).cast("bigint").alias("size"))
-    writer = schedule_stream(samples, GPT3, Batching(R, G, M), lambda out, n: out.write.mode("append").parquet(path), drop_last=True)
+    writer = schedule_stream(samples, transform(graphs.graph_nodes(spark, "gpt3")), Batching(R, G, M), lambda out, n: out.write.mode("append").parquet(path), drop_last=True)
     writer.option("checkpointLocation", work_path(spark, "scheduled-notes")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
@@ -410,7 +428,7 @@ def load_batches(spark, sf_dir):
     """A schedule's batches (four samples of each of four ranks) with their data."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
     samples = vectors.select("idx", F.size("embedding").cast("bigint").alias("size"))
-    loaded = C.load(Sampler(samples, GPT3, R, 64, 4, unstable=False).schedule(), vectors, "embedding")
+    loaded = C.load(Sampler(samples, graphs.graph_nodes(spark, "gpt3"), R, 64, 4, unstable=False).schedule(), vectors, "embedding")
     return loaded.agg(F.sum(F.size("embedding")).cast("bigint").alias("numbers"), F.count(F.lit(1)).alias("batches"))
 
 
@@ -456,6 +474,50 @@ def graph_round_trip(spark, sf_dir):
     return model_costs(graphs.load(spark, path))
 
 
+@_query(ORACLES["model_sums"])
+def graph_bytes(spark, sf_dir):
+    """Every graph as bytes and back."""
+    models = [graphs.from_bytes(spark, graphs.to_bytes(graphs.graph_nodes(spark, m))) for m in KNOWN]
+    return model_costs(reduce(DataFrame.unionByName, models))
+
+
+def _in_order(spark, sf_dir, policy):
+    """A schedule of two samples a rank and step, from a dataset and a graph at parallel sizes."""
+    data = datasets.Dataset(_table(spark, sf_dir, "documents"), "doc_id", F.col("n_chars"))
+    return Sampler(data, graphs.graph_nodes(spark, "llama3"), R, 2 * R, 2, unstable=False, policy=policy, tensor_parallel=4, context_parallel=8, rank=1)
+
+
+# the i-th smallest of a step's lower half goes with the i-th largest of its upper half; pairs by their sums
+_PAIRED = _RANKED + f""", o AS (SELECT pos // {2 * R} AS step, pos, idx, size, row_number() OVER (PARTITION BY pos // {2 * R} ORDER BY size, idx, pos) - 1 AS r FROM f),
+h AS (SELECT step, max(size) FILTER (r < {R}) - min(size) FILTER (r < {R}) AS low, max(size) FILTER (r >= {R}) - min(size) FILTER (r >= {R}) AS high, count(*) AS n FROM o GROUP BY step),
+q AS (SELECT *, CASE WHEN n = {R} THEN r WHEN r < {R} THEN r ELSE {2 * R - 1} - r END AS pair FROM o JOIN h USING (step)),
+t AS (SELECT step, pair, sum(size) AS total, any_value(coalesce(high, 0) > low) AS turned FROM q GROUP BY step, pair),
+k AS (SELECT step, pair, row_number() OVER (PARTITION BY step ORDER BY total, CASE WHEN turned THEN -pair ELSE pair END) - 1 AS rank FROM t)
+"""
+
+
+@_query(_PAIRED + "SELECT step, CAST(rank AS INTEGER) AS rank, idx FROM q JOIN k USING (step, pair)")
+def sampler_pairs(spark, sf_dir):
+    """Which sample goes to which rank, where SQL can say it without recursion."""
+    return _in_order(spark, sf_dir, "mem").schedule().select("step", "rank", "idx")
+
+
+@_query(_PAIRED + "SELECT count(*) AS n, CAST(sum(idx) AS BIGINT) AS total FROM q JOIN k USING (step, pair) WHERE rank = 1")
+def sampler_iteration(spark, sf_dir):
+    """A sampler's own rank, iterated."""
+    rows = [(i,) for i in _in_order(spark, sf_dir, "mem")]
+    return spark.createDataFrame(rows, "idx long").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
+
+
+@_query("SELECT vec_id // 8 AS batch, flatten(list(embedding ORDER BY vec_id)) AS x, list(label ORDER BY vec_id) AS label, list(vec_id % 3 ORDER BY vec_id) AS m FROM embeddings GROUP BY 1")
+def collate_nested(spark, sf_dir):
+    """A struct of a two-dimensional array and a map of arrays, collated by default."""
+    rows = C.fixed_batches(_table(spark, sf_dir, "embeddings").withColumn("pos", F.col("vec_id")), 8)
+    made = F.struct(F.array("embedding").alias("x"), F.create_map(F.lit("label"), F.array("label")).alias("by_name"), F.array(F.struct(F.array(F.col("vec_id") % 3).alias("m"))).alias("list"))
+    out = C.collate(rows.withColumn("sample", made), "sample", by=("batch",))
+    return out.select("batch", F.flatten("sample.x").alias("x"), F.col("sample.by_name")["label"].alias("label"), F.col("sample.list")[0]["m"].alias("m"))
+
+
 # ingestion
 
 
@@ -492,6 +554,33 @@ def ingest_cost(spark, sf_dir):
     return model_costs(ingest.ingest(exported_graph(spark), warn=False))
 
 
+def raw_graph(spark: SparkSession) -> DataFrame:
+    """A graph as exporters write it: all arguments, dimensions as texts."""
+    x, w = ("tensor", "BFLOAT16", ["s0", "4096"]), ("tensor", "BFLOAT16", ["4096", "s0 + 1"])
+    rows = [
+        ("m", 0, "placeholder", "x", "", [], None),
+        ("m", 1, "overload", "mm", "default", [x, w], ("BFLOAT16", ["s0", "s0 + 1"])),
+        ("m", 2, "overload", "view", "default", [x, ("list", None, None), ("scalar", None, None)], ("BFLOAT16", ["2*s0", "2048"])),
+        ("m", 3, "overload", "gelu", "default", [("tensor", "FLOAT32", ["2*s0 - 3", "16", "s0**2"]), ("scalar", None, None)], ("FLOAT32", ["2*s0 - 3", "16"])),
+        ("m", 4, "overload", "neg", "default", [("tensor", "FLOAT32", ["3*s0+2 - s0"])], None),
+    ]
+    return spark.createDataFrame(rows, ingest.RAW)
+
+
+@_query("""SELECT * FROM (VALUES (1, CAST(2 AS BIGINT), 0, CAST(0 AS BIGINT), CAST(1 AS BIGINT)), (1, 2, 1, 4096, 0), (2, 1, 0, 0, 1), (2, 1, 1, 4096, 0),
+  (3, 1, 0, -3, 2), (3, 1, 1, 16, 0), (3, 1, 2, 0, 0), (4, 1, 0, 2, 2)) AS t(node_id, n_args, place, c0, c1)""")
+def ingest_symbolic(spark, sf_dir):
+    nodes = ingest.ingest(ingest.parsed(raw_graph(spark)), warn=False)
+    first = nodes.select("node_id", F.size("args").cast("bigint").alias("n_args"), F.posexplode(F.col("args")[0]["shape"]).alias("place", "d"))
+    return first.select("node_id", "n_args", "place", "d.c0", "d.c1")
+
+
+@_query("SELECT 'm' AS model, CAST(8 AS BIGINT) AS c0, CAST(8192 + 8 AS BIGINT) AS c1, CAST(8192 AS BIGINT) AS c2")
+def ingest_symbolic_cost(spark, sf_dir):
+    """The product costs 2*4096*s*(s+1), gelu nothing as a dimension counts as zero, neg 4*(2s+2)."""
+    return model_costs(ingest.ingest(ingest.parsed(raw_graph(spark)), warn=False))
+
+
 @_query("SELECT count(*) AS n FROM range(50)")
 def registry_size(spark, sf_dir):
     return spark.createDataFrame([(len(REGISTRY.rules),)], "n long")

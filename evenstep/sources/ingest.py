@@ -2,7 +2,8 @@
 
 An exported node is a row (NODE): kind of target, target and overload names, its tensor arguments
 and output. Accessors and other targets are skipped; operators without a rule are skipped with
-one warning that names them.
+one warning that names them. Nodes as exporters write them (RAW), with all arguments and with
+symbolic dimensions as text, become such rows by parsed().
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from evenstep.functions.cost import TENSOR
 from evenstep.functions.dtypes import DTYPES
 
 NODE = f"model string, node_id int, kind string, packet string, overload string, args array<{TENSOR}>, meta {TENSOR}"
+#: An argument is of some kind; only tensors among the positional ones count. Dimensions are texts such as "128", "s0" or "2*s0 + 1".
+RAW = "model string, node_id int, kind string, packet string, overload string, args array<struct<kind:string,dtype:string,shape:array<string>>>, meta struct<dtype:string,shape:array<string>>"
 KINDS = ("overload", "packet", "custom")
 
 # Names of operators by packet and overload; a packet alone stands for all its overloads.
@@ -40,6 +43,43 @@ class UnsupportedOperatorWarning(UserWarning):
         super().__init__(f"operators without a cost were skipped: {', '.join(sorted(set(names)))}")
 
 
+_SYMBOL = r"[A-Za-z_]\w*"
+_CONSTANT, _LINEAR, _POWER = r"^-?\d+$", rf"^-?((\d+\*)?{_SYMBOL}|{_SYMBOL}\*\d+)$", rf"^-?(\d+\*)?{_SYMBOL}\*\*\d+$"
+
+
+def dimension(text: Column) -> Column:
+    """A dimension's text as (c0, c1): the coefficients of degree zero and one of its symbol.
+
+    Sums of whole numbers, multiples of a symbol and its powers, which add to neither. Other
+    texts, and sums of several symbols, raise; so does a null.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"(?<=\w)-", "+-")
+    terms = F.filter(F.split(plain, r"(?<!^)\+|^\+"), lambda t: t != "")
+
+    def parts(t: Column) -> Column:
+        sign = F.when(t.startswith("-"), -1).otherwise(1).cast("bigint")
+        number = F.coalesce(F.nullif(F.regexp_extract(t, r"(?<![A-Za-z_0-9])(\d+)", 1), F.lit("")), F.lit("1")).cast("bigint")
+        zero = F.lit(0).cast("bigint")
+        pair = lambda a, b: F.struct(a.alias("c0"), b.alias("c1"))
+        wrong = F.raise_error(F.concat(F.lit("Unknown dimension "), text)).cast("struct<c0:bigint,c1:bigint>")
+        return F.when(t.rlike(_CONSTANT), pair(sign * number, zero)).when(t.rlike(_LINEAR), pair(zero, sign * number)).when(t.rlike(_POWER), pair(zero, zero)).otherwise(wrong)
+
+    plus = lambda a, b: F.struct((a["c0"] + b["c0"]).alias("c0"), (a["c1"] + b["c1"]).alias("c1"))
+    start = F.struct(F.lit(0).cast("bigint").alias("c0"), F.lit(0).cast("bigint").alias("c1"))
+    summed = F.aggregate(F.transform(terms, parts), start, plus)
+    symbols = F.size(F.array_distinct(F.regexp_extract_all(plain, F.lit(f"({_SYMBOL})"))))
+    wrong = F.raise_error(F.concat(F.lit("Unknown dimension "), F.coalesce(text, F.lit("null")))).cast("struct<c0:bigint,c1:bigint>")
+    return F.when((F.size(terms) > 0) & (symbols <= 1) & ~text.rlike(r"\w\s+\w"), summed).otherwise(wrong)
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Rows of RAW as rows of NODE: arguments that are no tensors go, dimensions become pairs."""
+    sized = lambda t: F.struct(t["dtype"].alias("dtype"), F.transform(t["shape"], dimension).alias("shape"))
+    args = F.transform(F.filter("args", lambda a: (a["kind"] == "tensor") & a["dtype"].isNotNull()), sized)
+    meta = F.when(F.col("meta").isNotNull(), sized(F.col("meta")))
+    return raw.select("model", "node_id", "kind", "packet", "overload", args.alias("args"), meta.alias("meta"))
+
+
 def operator_name() -> Column:
     """The operator of a row of NODE: its overload's, else its packet's; null if there is none."""
     table = F.create_map(*(F.lit(x) for kv in OPERATORS.items() for x in kv))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder; the whole application's folder goes when the driver ends."""
+    """A new path below the shared folder. The application's folder goes when the driver's JVM
+    ends, whether or not the session was stopped before; clear() removes it earlier."""
     root = f"{shared_dir(spark)}/evenstep-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
+        files, path = _files(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, root: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _files(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application; frames that read them can't be used any more."""
+    root = f"{shared_dir(spark)}/evenstep-{spark.sparkContext.applicationId}"
+    files, path = _files(spark, root)
+    files.delete(path, True)
+    _ROOTS.discard(root)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

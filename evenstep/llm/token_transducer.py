@@ -1,17 +1,21 @@
 """Token counts from finite-state transducers whose transitions carry emitted-token counts.
 
 Two machines. The first splits a text into words: its transitions on character classes say
-where words begin. A long input is cut into chunks; each chunk's state map (for every state it
-may be entered in: the state it is left in and how many words begin) composes with its
-neighbours' by a parallel prefix scan, which gives every chunk its entry state. The second
-reads a word's bytes; its transitions carry the change in the number of tokens of what has been
-read, so that the sum along a word is its number of tokens. Its states are made as texts need them.
+where words begin. The second reads a word's bytes; its transitions carry the change in the number
+of tokens of what has been read, so that the sum along a word is its number of tokens. Its states are
+made as texts need them.
+
+Texts are cut into chunks. A chunk's state map says, for every state that it may be entered in: the
+state it is left in, where its first and its last word begin, and the tokens of the words in between.
+Neighbours' maps compose, whereby the word that lies across the border is counted; a parallel prefix
+scan over the chunks of each text gives its number of tokens.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -100,77 +104,138 @@ def class_table() -> np.ndarray:
     return out
 
 
+#: No place.
+NONE = -2
+
+
+class Maps:
+    """State maps of chunks, by chunk and entry state: the state each is left in, the first and the last
+    place where a word begins (NONE without one), and the tokens of words from the first to the last;
+    `able` are the entry states that the character before a chunk can lead to."""
+
+    __slots__ = ("able", "exits", "first", "last", "tokens")
+
+    def __init__(self, able: np.ndarray, exits: np.ndarray, first: np.ndarray, last: np.ndarray, tokens: np.ndarray):
+        self.able, self.exits, self.first, self.last, self.tokens = able, exits, first, last, tokens
+
+
 class WordSplitter:
-    """Marks where words begin, in many chunks at a time."""
+    """Runs the word machine over many chunks at a time."""
 
     def __init__(self, width: int = 256):
         self.table, self.marks, self.start = word_machine()
         self.states, self.classes = self.table.shape
         self.width = width
-
-    def chunk_maps(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For chunks as rows: exit state and number of words begun, by entry state."""
-        n = len(classes)
-        ends, counts = np.empty((n, self.states), np.uint8), np.zeros((n, self.states), np.int64)
-        rows, state = np.arange(n), np.tile(np.arange(self.states, dtype=np.uint8), (n, 1))
-        for k in range(classes.shape[1]):
-            if state.shape[1] > 1 and k and k % 8 == 0:  # chunks whose entry state no longer matters go on alone
-                met = (state == state[:, :1]).all(1)
-                if met.any():
-                    self._alone(classes, rows[met], state[met, 0], k, ends, counts)
-                    rows, state = rows[~met], state[~met]
-                    if not len(rows):
-                        return ends, counts
-            at = state.astype(np.int64) * self.classes + classes[rows, k][:, None]
-            counts[rows] += _BITS[self.marks.ravel()[at]]
-            state = self.table.ravel()[at]
-        ends[rows] = state
-        return ends, counts
-
-    def _alone(self, classes, rows, state, k, ends, counts):
-        own, more = classes[rows, k:].T.copy(), np.zeros(len(rows), np.int64)
-        flat, marks = self.table.ravel(), _BITS[self.marks.ravel()]
-        for column in own:
-            at = state.astype(np.int64) * self.classes + column
-            more += marks[at]
-            state = flat[at]
-        ends[rows] = state[:, None]
-        counts[rows] += more[:, None]
-
-    def scan(self, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maps of all prefixes of chunks, by doubling: after round r each holds 2**r chunks."""
-        ends, counts, reach = ends.copy(), counts.copy(), 1
-        while reach < len(ends):
-            through = ends[:-reach].astype(np.int64)
-            counts[reach:] = counts[:-reach] + np.take_along_axis(counts[reach:], through, 1)
-            ends[reach:] = np.take_along_axis(ends[reach:], through, 1)
+        #: by class: the states that reading it can lead to
+        self.into = np.zeros((self.classes, self.states), bool)
+        self.into[np.tile(np.arange(self.classes), self.states), self.table.ravel()] = True
+
+    def run(self, chunks: np.ndarray, before: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks as rows of classes, and the class before each: which entry states are possible, the exit
+        states, places of begins that don't hang on the entry state (a row for each place from -1
+        on), and (chunk, entry state, place) of those that do, in ascending order.
+
+        All possible entry states run side by side until they meet; then the chunk goes on alone.
+        """
+        n, width = chunks.shape
+        flat, marks = self.table.ravel(), self.marks.ravel()
+        able = self.into[before]
+        row, entry = np.nonzero(able)
+        state, exits = entry.astype(np.uint8), np.zeros((n, self.states), np.uint8)
+        common, found = np.zeros((width + 1, n), bool), [np.zeros((3, 0), np.int64)]
+        alone, lone = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        for k, column in enumerate(np.ascontiguousarray(chunks.T)):
+            if k % step == 0 and len(row):  # those whose states have met
+                starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                met = np.minimum.reduceat(state, starts) == np.maximum.reduceat(state, starts)
+                alone, lone = np.append(alone, row[starts[met]]), np.append(lone, state[starts[met]])
+                apart = ~np.repeat(met, np.diff(np.append(starts, len(row))))
+                row, entry, state = row[apart], entry[apart], state[apart]
+            if len(alone):
+                at = lone.astype(np.int64) * self.classes + column[alone]
+                m, lone = marks[at], flat[at]
+                common[k + 1, alone] |= (m & HERE).astype(bool)
+                common[k, alone] |= (m & BEFORE).astype(bool)
+            if len(row):
+                at = state.astype(np.int64) * self.classes + column[row]
+                m, state = marks[at], flat[at]
+                for mark, place in ((BEFORE, k - 1), (HERE, k)):
+                    hit = np.flatnonzero(m & mark)
+                    found.append(np.stack([row[hit], entry[hit], np.full(len(hit), place)]))
+        exits[alone] = lone[:, None]
+        exits[row, entry] = state
+        own = np.concatenate(found, 1)
+        return able, exits, common, tuple(own[:, np.lexsort((own[2], own[1], own[0]))])
+
+    def entries(self, exits: np.ndarray) -> np.ndarray:
+        """Every chunk's entry state: exit maps of all prefixes, by doubling; after round r each holds 2**r chunks."""
+        exits, reach = exits.copy(), 1
+        while reach < len(exits):
+            exits[reach:] = np.take_along_axis(exits[reach:], exits[:-reach].astype(np.int64), 1)
             reach *= 2
-        return ends, counts
+        return np.append(np.uint8(self.start), exits[:-1, self.start])
 
     def begins(self, classes: np.ndarray) -> np.ndarray:
-        """Places where words begin in a row of classes."""
+        """Places where words begin in one text's classes."""
         n = len(classes)
         padded = np.full(-(-max(n, 1) // self.width) * self.width, OF_CLASS["end"], np.uint8)
         padded[:n] = classes
         chunks = padded.reshape(-1, self.width)
-        ends, counts = self.scan(*self.chunk_maps(chunks))
-        state = np.append(np.uint8(self.start), ends[:-1, self.start])
-        marks = np.empty((self.width, len(chunks)), np.uint8)
-        flat, of = self.table.ravel(), self.marks.ravel()
-        for k, column in enumerate(chunks.T.copy()):
-            at = state.astype(np.int64) * self.classes + column
-            marks[k] = of[at]
-            state = flat[at]
-        marks = marks.T.ravel()
-        begin = (marks & HERE).astype(bool)
-        begin[:-1] |= (marks[1:] & BEFORE).astype(bool)
-        found = np.flatnonzero(begin[:n])
-        if len(found) != counts[-1, self.start]:
-            raise AssertionError("the chunks' maps and their marks differ")
-        return found
-
-
-_BITS = np.array([0, 1, 1, 2], np.int64)
+        able, exits, common, (row, entry, place) = self.run(chunks, np.append(OF_CLASS["end"], chunks[:-1, -1]))
+        right = self.entries(exits)[row] == entry
+        where, column = np.nonzero(common.T)
+        return np.sort(np.append(where * self.width + column - 1, row[right] * self.width + place[right]))
+
+    def maps(self, chunks: np.ndarray, before: np.ndarray, count: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Maps:
+        """The chunks' maps. count gives the tokens of the words from places to places. The first `end` after
+        a text's last character also is a place, so that it closes the last word."""
+        able, exits, common, (row, entry, place) = self.run(chunks, before)
+        n, width = chunks.shape
+        end = chunks == OF_CLASS["end"]
+        common[1:] |= (end & ~np.concatenate([(before == OF_CLASS["end"])[:, None], end[:, :-1]], 1)).T
+        at, column = np.nonzero(common.T)
+        common_place, place = at * width + column - 1, row * width + place
+        first, last, tokens = np.full(n, NONE), np.full(n, NONE), np.zeros(n, np.int64)
+        last[at] = common_place  # the last one assigned stays
+        first[at[::-1]] = common_place[::-1]
+        same = np.flatnonzero(at[1:] == at[:-1])
+        # words between places of one entry state, and from its last place to the first common one
+        key = row * self.states + entry
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        inner = np.flatnonzero(key[1:] == key[:-1])
+        tails = np.append(heads[1:], len(key))[: len(heads)] - 1
+        of = row[heads]
+        into = np.flatnonzero(first[of] != NONE)
+        counts = count(np.concatenate([common_place[same], place[inner], place[tails][into]]), np.concatenate([common_place[same + 1], place[inner + 1], first[of][into]]))
+        tokens += np.bincount(at[same], counts[: len(same)], n).astype(np.int64)
+        spread = lambda x: np.repeat(x[:, None], self.states, 1)
+        out = Maps(able, exits, spread(first), spread(last), spread(tokens))
+        more = np.bincount(key[inner], counts[len(same) : len(same) + len(inner)], n * self.states) + np.bincount(key[heads][into], counts[len(same) + len(inner) :], n * self.states)
+        out.tokens += more.astype(np.int64).reshape(n, self.states)
+        out.first[of, entry[heads]] = place[heads]
+        out.last[of, entry[heads]] = np.where(last[of] == NONE, place[tails], last[of])
+        return out
+
+    def scan(self, maps: Maps, depth: np.ndarray, count: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Maps:
+        """Maps of all prefixes of each text's chunks (depth: a chunk's number in its text), by doubling."""
+        able, exits, first, last, tokens = (x.copy() for x in (maps.able, maps.exits, maps.first, maps.last, maps.tokens))
+        reach = 1
+        while (right := np.flatnonzero(depth >= reach)).size:
+            k, s = np.nonzero(able[right - reach])
+            b, a = right[k], right[k] - reach
+            t = exits[a, s]  # left in t, the right one is entered in it
+            across = np.flatnonzero((last[a, s] != NONE) & (first[b, t] != NONE))
+            joint = np.zeros(len(a), np.int64)
+            joint[across] = count(last[a, s][across], first[b, t][across])
+            made = (
+                np.where(first[a, s] == NONE, first[b, t], first[a, s]), np.where(last[b, t] == NONE, last[a, s], last[b, t]),
+                tokens[a, s] + joint + tokens[b, t], exits[b, t],
+            )
+            able[right] = able[right - reach]
+            for x, new in zip((first, last, tokens, exits), made, strict=True):
+                x[b, s] = new
+            reach *= 2
+        return Maps(able, exits, first, last, tokens)
 
 
 class CountMachine:
@@ -291,26 +356,37 @@ class TokenCounter:
             extra[d] = len(parts) - 1
             segments += parts
             owners += [d] * len(parts)
-        joined = "\0".join(segments) + "\0"
+        width = self.splitter.width
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        chunks = sizes // width + 1  # at least one character is left for the end
+        joined = "".join([s + "\0" * n for s, n in zip(segments, (chunks * width - sizes).tolist(), strict=True)])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        classes = class_table()[points]
-        ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-        classes[ends] = OF_CLASS["end"]
-        begins = self.splitter.begins(classes)
-        if not len(begins):
-            return extra
-        of = np.searchsorted(ends, begins)
-        stops = np.minimum(np.append(begins[1:], len(points)), ends[of])
-        words = [joined[a:b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
+        stops = np.cumsum(chunks)
+        inside = np.arange(len(points)) < np.repeat((stops - chunks) * width + sizes, chunks * width)
+        classes = np.where(inside, class_table()[points], np.uint8(OF_CLASS["end"]))
+        depth = np.arange(int(stops[-1])) - np.repeat(stops - chunks, chunks) if len(stops) else np.zeros(0, np.int64)
+        rows = classes.reshape(-1, width)
+        before = np.where(depth == 0, OF_CLASS["end"], np.append(0, rows[:-1, -1])[: len(rows)])
+
+        def count(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(starts), np.int64)
+            true = np.flatnonzero(inside[starts] & (starts >= 0))  # no word begins at an end
+            words = [joined[a:b] for a, b in zip(starts[true].tolist(), ends[true].tolist(), strict=True)]
+            out[true] = self._tokens(words)
+            return out
+
+        maps = self.splitter.scan(self.splitter.maps(rows, before, count), depth, count)
+        totals = maps.tokens[stops - 1, self.splitter.start]
+        return (np.bincount(owners, totals, len(texts)).astype(np.int64) + extra).tolist()
+
+    def _tokens(self, words: list[str]) -> np.ndarray:
         fresh = set(words).difference(self.known)
         if len(self.known) + len(fresh) > self.most:
             self.known.clear()
             fresh = set(words)
         count = self.machine.count
-        self.known.update((w, count(w.encode())) for w in sorted(fresh))
-        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sums = np.bincount(np.array(owners)[of], found, len(texts)).astype(np.int64)
-        return (sums + np.array(extra)).tolist()
+        self.known.update((w, count(w.encode("utf-8", "surrogatepass"))) for w in sorted(fresh))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 @lru_cache(maxsize=2)

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstep.storage import shared_dir, work_path, written
 
-__all__ = ["doc_texts", "open_shared", "per_batch", "shared_dir", "small_batches", "work_path", "written"]
+__all__ = ["doc_texts", "one_each", "open_shared", "per_batch", "shared_dir", "small_batches", "work_path", "written"]
 
 def open_shared(path: str):
     """(file system, path in it) of a path below the shared folder, usable on driver and executors."""
@@ -20,6 +20,12 @@ def open_shared(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def one_each(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short list of rows, such as files, with a task for each."""
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"__task int, {schema}")
+    return (numbered.repartitionById(len(rows), "__task") if rows else numbered).drop("__task")
+
+
 def doc_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only key and text, null text as empty: clashing names of further columns can't matter."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

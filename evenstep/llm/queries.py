@@ -17,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     """A sequence has at most 2048 tokens, 12 pieces and 2040 loss-bearing tokens; a document's first line bears no loss."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), segments=12, loss=2040, prompt=packing.first_line)
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), segments=12, loss=2040, prompt=packing.first_line)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

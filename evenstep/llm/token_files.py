@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstep.llm.bpe import word_encoder
-from evenstep.llm.common import doc_texts, open_shared, small_batches, work_path, written
+from evenstep.llm.common import doc_texts, one_each, open_shared, small_batches, work_path, written
 
 END_ID = 1
 FILE_SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("local_start", pa.int64()), pa.field("ids", pa.list_(pa.field("element", pa.int32(), nullable=False))), pa.field("n_tokens", pa.int64())])
@@ -136,9 +136,7 @@ def read_tokens(spark: SparkSession, files: DataFrame, with_ids: bool = False) -
     """
     plan = [(r.file, base) for r, base in _with_bases(files)]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    todo = spark.createDataFrame(plan, "file string, base long")
-    if plan:
-        todo = todo.repartitionByRange(len(plan), "base")
+    todo = one_each(spark, plan, "file string, base long")
 
     def run(batches):
         for batch in batches:

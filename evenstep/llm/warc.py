@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenstep.llm.common import open_shared, small_batches, work_path, written
+from evenstep.llm.common import one_each, open_shared, small_batches, work_path, written
 
 LEAST_REVISIT = 1000
 STEP = 1 << 20
@@ -195,8 +195,9 @@ def read_archives(spark: SparkSession, files: DataFrame) -> DataFrame:
                         columns = list(zip(*found, strict=True))
                         yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # one file per task
-    return files.repartition(max(files.count(), 1), "file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # the list has a short row for each task that wrote
+    todo = one_each(spark, [(r["file"], r["index"]) for r in files.select("file", "index").collect()], "file string, index string")
+    return todo.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 ORACLE = """

@@ -33,7 +33,7 @@ ALPHA, DELTA = 0.03, 0.05
 #: A helper column, unlike any of a table's own.
 KEY = "__evenstep_key"
 #: Labelled ids (8 bytes each) up to which they are broadcast, so that only labelled texts are read closely.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 500_000
 
 
 def repeated_words(words: list, width: int = 3) -> int:

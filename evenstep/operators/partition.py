@@ -69,8 +69,12 @@ def partition(keys: np.ndarray, k: int, heuristic: str = "meld") -> np.ndarray:
     if k <= 0 or n % k:
         raise ValueError("the number of items must be a multiple of the number of groups")
     keys = np.asarray(keys, np.int64)
+    return combined([Block(keys[i : i + k], np.arange(i, i + k)[:, None]) for i in range(0, n, k)], heuristic).members
+
+
+def combined(blocks: list[Block], heuristic: str = "meld") -> Block:
+    """One block of all, the two most uneven ones folded again and again."""
     age = count()
-    blocks = [Block(keys[i : i + k], np.arange(i, i + k)[:, None]) for i in range(0, n, k)]
     heap = [(-b.spread, next(age), b) for b in blocks]
     heapq.heapify(heap)
     while len(heap) > 1:
@@ -79,7 +83,7 @@ def partition(keys: np.ndarray, k: int, heuristic: str = "meld") -> np.ndarray:
             second = second.meld(heapq.heappop(heap)[2], first.spread)
         made = first.fold(second)
         heapq.heappush(heap, (-made.spread, next(age), made))
-    return heap[0][2].members
+    return heap[0][2]
 
 
 def spread(sums) -> float:

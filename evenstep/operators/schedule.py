@@ -85,7 +85,7 @@ def _as_batch(rows: list[np.ndarray], pos, idx, sizes, costs) -> pa.RecordBatch:
     return pa.record_batch(columns, ["step", "rank", "micro", "slot", "pos", "idx", "size", "cost"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator[np.ndarray]:
+def by_group(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator[np.ndarray]:
     """Columns (group, pos, idx, size, cost) of sorted rows, in pieces of whole groups."""
     held: list[np.ndarray] = []
     rows = 0
@@ -104,7 +104,7 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator
         yield np.concatenate(held, 1)
 
 
-def _cut(group: np.ndarray) -> list[tuple[int, int]]:
+def cut(group: np.ndarray) -> list[tuple[int, int]]:
     bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
     return list(zip(bounds[:-1], bounds[1:], strict=True))
 
@@ -129,9 +129,9 @@ def stable_schedule(positions: DataFrame, cost: Polynomial, batch: Batching) ->
     rows = rows.withColumn("step", F.call_function("div", F.col("pos"), F.lit(batch.global_batch)))
 
     def run(batches):
-        for step, pos, idx, sizes, costs in _groups(batches):
+        for step, pos, idx, sizes, costs in by_group(batches):
             out = []
-            for a, b in _cut(step):
+            for a, b in cut(step):
                 key = (sizes if batch.by_size else costs)[a:b]
                 order = a + np.lexsort((idx[a:b], sizes[a:b], key))
                 share = sizes if batch.by_size else costs
@@ -156,8 +156,8 @@ def _unstable(rows: DataFrame, n: int, batch: Batching, first_step: int, most_it
     part = F.pmod(F.when(turn % 2 == 1, batches_n - 1 - slot).otherwise(slot), F.lit(dealt).cast("long"))
 
     def run(pieces):
-        for part_no, pos, idx, sizes, costs in _groups(pieces):
-            for a, b in _cut(part_no):
+        for part_no, pos, idx, sizes, costs in by_group(pieces):
+            for a, b in cut(part_no):
                 share = (sizes if batch.by_size else costs)[a:b]
                 order = a + np.lexsort((pos[a:b], idx[a:b], sizes[a:b], share))
                 groups = order[partition((sizes if batch.by_size else costs)[order], (b - a) // each)]
@@ -174,9 +174,9 @@ def _unstable(rows: DataFrame, n: int, batch: Batching, first_step: int, most_it
     r = F.lit(batch.ranks).cast("long")
 
     def split(pieces):
-        for number, pos, idx, sizes, costs in _groups(pieces):
+        for number, pos, idx, sizes, costs in by_group(pieces):
             out = []
-            for a, b in _cut(number):
+            for a, b in cut(number):
                 t = int(number[a])
                 out += _rows(first_step + t // batch.ranks, t % batch.ranks, np.arange(a, b), sizes, costs, batch)
             yield _as_batch(out, pos, idx, sizes, costs)

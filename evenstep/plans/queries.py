@@ -14,7 +14,8 @@ from evenstep.functions.cost import FREE, PER_INPUT, REGISTRY, model_costs, node
 from evenstep.functions.dtypes import DTYPES, PROMOTIONS, SCALE, promoted, scale_of
 from evenstep.functions.polynomial import Polynomial
 from evenstep.operators import collate as C
-from evenstep.operators.partition import HEURISTICS, partition
+from evenstep.operators.groups import balanced_groups
+from evenstep.operators.partition import HEURISTICS
 from evenstep.operators.sampler import Sampler, permute, resize, total_size
 from evenstep.operators.schedule import POLICIES, Batching, schedule, unstable_schedule
 from evenstep.plans import diagnostics as D
@@ -313,23 +314,11 @@ def rank_shard(spark, sf_dir):
 
 
 def _partitioned(spark, sf_dir, heuristic):
-    """Documents sorted by size as 8 groups; a sum and a number of items for each."""
+    """Documents in 8 groups by size, but for the largest that fill no round; a sum and a number of items for each."""
     sizes = with_position(_samples(spark, sf_dir), "size", "idx")
     n = sizes.count() // 8 * 8
-
-    def run(pieces):
-        import pyarrow as pa
-
-        table = pa.Table.from_batches(list(pieces)).to_pydict()
-        if table["size"]:
-            import numpy as np
-
-            keys = np.array(table["size"], np.int64)
-            groups = partition(keys, 8, heuristic)
-            yield pa.record_batch([pa.array(range(8), pa.int32()), pa.array(keys[groups].sum(1)), pa.array([len(g) for g in groups], pa.int64())], ["place", "total", "n"])
-
-    ordered = sizes.where(F.col("pos") < n).select("size").repartition(1).sortWithinPartitions("size")
-    return ordered.mapInArrow(run, "place int, total long, n long")
+    groups = balanced_groups(sizes.where(F.col("pos") < n), 8, heuristic)
+    return groups.groupBy(F.col("place").cast("int").alias("place")).agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 for _h in HEURISTICS:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from evenstep.operators import schedule as S
+from evenstep.operators.groups import balanced_groups
 from evenstep.operators.partition import HEURISTICS, partition
 from evenstep.operators.sampler import Sampler
 from evenstep.operators.schedule import POLICIES, unstable_schedule
@@ -69,3 +70,28 @@ def test_many_batches_are_dealt(spark, policy, monkeypatch):
     assert sums == sorted(sums)
     assert all(0 <= r.spread < 0.05 for r in spread_mem(dealt).collect()) or policy == "fast"
     dealt.unpersist()
+
+
+@pytest.mark.parametrize("k, most", [(8, 10**6), (8, 300), (8, 100), (64, 100), (1, 100), (512, 700)])
+def test_groups_of_tables(spark, k, most):
+    """One task's groups are the partition's; dealt ones keep cardinalities and order, and stay nearly even."""
+    rows = samples(spark, 1024, seed=2)
+    found = balanced_groups(rows, k, most_items=most).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.place, []).append((r["size"], r.idx))
+    assert sorted(i for own in groups.values() for _, i in own) == list(range(1024))
+    assert sorted(groups) == list(range(k)) and {len(own) for own in groups.values()} == {1024 // k}
+    sums = [sum(s for s, _ in groups[p]) for p in range(k)]
+    assert sums == sorted(sums) and (k > 64 or max(sums) <= 1.2 * min(sums))
+    if most > 1024:
+        order = sorted((r["size"], r.idx) for r in rows.collect())
+        want = partition(np.array([s for s, _ in order]), k)
+        assert [sorted(order[i] for i in own) for own in want.tolist()] == [sorted(groups[p]) for p in range(k)]
+
+
+def test_groups_of_odd_tables(spark):
+    assert balanced_groups(samples(spark, 0), 3).collect() == []
+    for k in (0, 5):
+        with pytest.raises(ValueError):
+            balanced_groups(samples(spark, 8), k)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from evenstep.llm.common import one_each, open_shared, small_batches, work_path, written
 
 LEAST_REVISIT = 1000
+#: Groups of equal payloads (40 bytes each) up to which they are broadcast, and the bits of the map of more (16 MB).
+MOST_GROUPS, MAP_BITS = 100_000, 1 << 27
 STEP = 1 << 20
 
 
@@ -111,7 +113,25 @@ def normalise(source: BinaryIO, target: BinaryIO, level: int = 6) -> list[dict]:
     return index
 
 
-def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def with_origins(rows: DataFrame, groups: DataFrame, most_groups: int = MOST_GROUPS, map_bits: int = MAP_BITS) -> DataFrame:
+    """rows with `origin` of their group (groups: sha256, origin), null without one.
+
+    Few groups are broadcast. Of many a map of hashed places is, by which rows that are certainly
+    in no group stay where they are; only the others, copies nearly all, go through the join's shuffle.
+    """
+    if groups.count() <= most_groups:
+        return rows.join(F.broadcast(groups), "sha256", "left")
+    place = F.pmod(F.xxhash64("sha256"), F.lit(map_bits)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = groups.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.call_function("div", F.col("bit"), F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, F.pmod("bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    marked = rows.withColumn("bucket", bucket).withColumn("bit", bit).join(F.broadcast(maps), "bucket", "left").withColumn("hit", hit)
+    out = lambda df: df.select(*rows.columns, "origin")
+    return out(marked.where("not hit").withColumn("origin", F.lit(None).cast("long"))).unionByName(out(marked.where("hit").join(groups, "sha256", "left")))
+
+
+def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, key: str = "page_id", url: str = "url", payload: str = "html", most_groups: int = MOST_GROUPS, map_bits: int = MAP_BITS) -> DataFrame:
     """Writes the pages as WARC files and normalises them; returns one row per file: file, index, records.
 
     Of rows with equal payloads of at least `least` bytes, the one with the largest key is the
@@ -129,7 +149,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, key: str = "pag
     groups = long.groupBy("sha256").agg(F.max("page_id").alias("origin"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha256", "origin")
     # a table, so that Spark can split the pages of a payload with very many copies
     groups = written(groups, "payload-groups")
-    whole = rows.join(groups, "sha256", "left").select("page_id", "url", "html", (F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin"))).alias("revisits"), "origin")
+    whole = with_origins(rows, groups, most_groups, map_bits).select("page_id", "url", "html", (F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin"))).alias("revisits"), "origin")
 
     def run(batches: Iterator[pa.RecordBatch]):
         filesystem, root = open_shared(folder)

@@ -20,7 +20,6 @@ def main() -> None:
     from evenstep.operators.sampler import Sampler
     from evenstep.packaging import ship
     from evenstep.plans import diagnostics as D
-    from evenstep.plans.queries import GPT3
     from evenstep.sources import datasets, graphs
     from evenstep.functions.cost import transform
     from evenstep.storage import with_position, written
@@ -53,8 +52,8 @@ def main() -> None:
         for stable in (True, False):
             for policy in ("fast", "mem", "joint"):
                 name = f"{'stable' if stable else 'unstable'}_{policy}_{table}"
-                sampler = Sampler(samples, GPT3, 4, 256, 16, unstable=not stable, policy=policy)
-                found = timed(name, lambda s=sampler: D.spread_mem(s.schedule()).agg(F.avg("spread")).first()[0])
+                make = lambda t=samples, u=not stable, p=policy: Sampler(t, graphs.graph_nodes(spark, "gpt3"), 4, 256, 16, unstable=u, policy=p, tensor_parallel=4)
+                found = timed(name, lambda m=make: D.spread_mem(m().schedule()).agg(F.avg("spread")).first()[0])
                 evenness[name] = round(found, 6)
     try:
         from evenstep.llm.queries import QUERIES

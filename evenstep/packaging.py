@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_SHIPPED: set[str] = set()
+#: The folder of each application's zip, removed when the driver's Python ends.
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,9 +18,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="evenstep-")) / "evenstep.zip"
+    folder = tempfile.TemporaryDirectory(prefix="evenstep-", ignore_cleanup_errors=True)
+    target = Path(folder.name) / "evenstep.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
+    _SHIPPED[context.applicationId] = folder

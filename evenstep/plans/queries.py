@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenstep import api
 from evenstep.functions import polynomial as P
-from evenstep.functions.cost import FREE, PER_INPUT, REGISTRY, model_costs, node_costs, transform
+from evenstep.functions.cost import FREE, PER_INPUT, REGISTRY, Registry, free, model_costs, node_costs, per_input, transform
 from evenstep.functions.dtypes import DTYPES, PROMOTIONS, SCALE, promoted, scale_of
 from evenstep.functions.polynomial import Polynomial
 from evenstep.operators import collate as C
@@ -147,7 +147,9 @@ ALGEBRA = {
     "mul": (lambda a, b: P.multiply(a, b), ["a0 * b0", "a0 * b1 + a1 * b0", "a0 * b2 + a1 * b1 + a2 * b0"]),
     "neg": (lambda a, b: P.negate(a), _EACH("-{}")),
     "add_scalar": (lambda a, b: P.add_scalar(a, 3), ["a0 + 3", "a1", "a2"]),
+    "from_scalar": (lambda a, b: P.subtract(P.poly(3), a), ["3 - a0", "-a1", "-a2"]),
     "scale": (lambda a, b: P.scale(a, 5), _EACH("{} * 5")),
+    "scalar_mul": (lambda a, b: P.multiply(P.poly(5), a), _EACH("5 * {}")),
     "div": (lambda a, b: P.divide(a, 4), _EACH("sign({0}) * (abs({0}) // 4)")),
     "shl": (lambda a, b: P.shift_left(a, 2), _EACH("{} * 4")),
     "shr": (lambda a, b: P.shift_right(a, 1), _EACH("floor({} / 2.0)")),
@@ -328,6 +330,11 @@ for _h in HEURISTICS:
         partial(_partitioned, heuristic=_h),
         f"WITH RECURSIVE {_items}, {partition_ctes('parts', 'items', _h == 'meld')} SELECT CAST(place AS INTEGER) AS place, total, len(ids) AS n FROM parts",
     )
+    _add(
+        f"partition_{_h}_spread",
+        lambda s, d, h=_h: _partitioned(s, d, h).agg(((F.max("total") - F.min("total")) / F.min("total")).alias("spread")),
+        f"WITH RECURSIVE {_items}, {partition_ctes('parts', 'items', _h == 'meld')} SELECT (max(total) - min(total)) / min(total) AS spread FROM parts",
+    )
     _add(
         f"partition_{_h}_shape",
         lambda s, d, h=_h: _partitioned(s, d, h).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("total").cast("bigint").alias("total")),
@@ -437,6 +444,17 @@ def loader_shuffled(spark, sf_dir):
     return api.Loader(_vectors(spark, sf_dir), "embedding", batch_size=8, shuffle=True, seed=3).batches()
 
 
+@_query("SELECT vec_id % 5 AS batch, flatten(list(embedding ORDER BY vec_id DESC)) AS embedding FROM embeddings GROUP BY 1")
+def loader_given_batches(spark, sf_dir):
+    given = _table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("batch"), (-F.col("vec_id")).alias("slot"), F.col("vec_id").alias("idx"))
+    return api.Loader(_vectors(spark, sf_dir), "embedding", batch_sampler=given).batches()
+
+
+@_query("SELECT vec_id // 8 AS batch, CAST(sum(label) AS BIGINT) AS label FROM embeddings GROUP BY 1")
+def loader_collate_fn(spark, sf_dir):
+    return api.Loader(_vectors(spark, sf_dir), "label", batch_size=8, num_workers=2, collate_fn=lambda rows: rows.groupBy("batch").agg(F.sum("label").alias("label"))).batches()
+
+
 @_query("""SELECT vec_id AS idx, CAST(len(embedding) AS BIGINT) AS size FROM embeddings
 UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings), CAST(len(embedding) AS BIGINT) FROM embeddings""")
 def dataset_sum(spark, sf_dir):
@@ -570,6 +588,17 @@ def ingest_symbolic_cost(spark, sf_dir):
     return model_costs(ingest.ingest(ingest.parsed(raw_graph(spark)), warn=False))
 
 
+@_query("SELECT doc_id AS idx, CAST(6 * n_chars AS BIGINT) AS cost FROM documents")
+def registry_custom(spark, sf_dir):
+    """The cost of a graph with an operator of one's own and one whose rule is replaced."""
+    own, x = Registry(), ("BFLOAT16", [_S])
+    own.register("TRIPLE", per_input(3))
+    own.register("RELU", free)
+    own.deregister("GELU")
+    cost = model_costs(graphs.nodes_from(spark, "m", [("TRIPLE", [x], x), ("RELU", [x], x)]), own).first()
+    return _samples(spark, sf_dir).select("idx", Polynomial(cost.c0, cost.c1, cost.c2).at(F.col("size")).alias("cost"))
+
+
 @_query("SELECT count(*) AS n FROM range(50)")
 def registry_size(spark, sf_dir):
     return spark.createDataFrame([(len(REGISTRY.rules),)], "n long")

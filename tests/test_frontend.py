@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from evenstep import api, storage
-from evenstep.functions.cost import node_costs
+from evenstep.functions.cost import node_costs, transform
 from evenstep.functions.polynomial import Polynomial
 from evenstep.operators.collate import collate
 from evenstep.operators.sampler import Sampler
@@ -46,6 +46,12 @@ def test_log_has_micro_batches(spark, caplog):
     assert any("Reordering 8 micro-batches took" in m for m in caplog.messages)
 
 
+def test_log_of_costing(spark, caplog):
+    with caplog.at_level(logging.INFO, "evenstep.functions.cost"):
+        transform(graphs.graph_nodes(spark, "gpt3"))
+    assert any("Costing a graph of 52 nodes took" in m for m in caplog.messages)
+
+
 def test_loader_options(spark):
     data = numbers(spark, 10)
     loader = api.Loader(data, "x", batch_size=4, num_workers=2, prefetch_factor=3, persistent_workers=True, in_order=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -31,8 +33,20 @@ def doc_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about most_bytes of text, so that Python objects stay bounded."""
+    yield from _slices(batches, column, most_bytes)
+    give_back()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

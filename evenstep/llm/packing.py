@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,18 @@ def byte_encoder(path: str):
     import public_tokenizers
 
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    exact = Tokenizer.from_file(path)
-    exact.no_truncation()
-    exact.no_padding()
+
+    @cache
+    def exact() -> Tokenizer:
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        return library
 
     def ids(text: str) -> np.ndarray:
         # newer characters' classes and endless runs of one kind are left to the library itself
         if len(text) > 1 << 17 or not text.isascii() and max(text) >= "\u0370":
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
         if "<|" in text:
             return np.array(fast.encode(text, allowed_special="all"), np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)

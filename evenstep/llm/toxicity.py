@@ -10,7 +10,6 @@ sum, the expected number of toxic ones, and its share of the text give a documen
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from functools import reduce
 from math import exp, log, log1p
@@ -63,7 +62,9 @@ class Field:
         self.bias = bias
         self.moves = np.zeros((2, 2)) if moves is None else moves
         self.verdict = verdict
-        self.name = uuid.uuid4().hex
+        #: the first letters that tokens with known features can have
+        self.heads = frozenset(f.partition(":")[2][: PREFIXES[0]] for f in self.weights)
+        self.memory: dict[str, float | None] = {}
 
     def emission(self, token: str) -> float | None:
         """What a token adds to the bias; None if it has no known feature."""
@@ -112,23 +113,18 @@ class Field:
 
     def evidence(self, text: str) -> tuple[int, list[int], np.ndarray]:
         """Number of tokens, places of those with known features, and their marginals."""
-        if self.name not in _CACHES:  # of fields that came before nothing is kept
-            _CACHES.clear()
-            _CACHES[self.name] = {}
-        cache = _CACHES[self.name]
-        tokens = _TOKEN.findall(text)
-        fresh = set(tokens).difference(cache)
-        if fresh:
-            if len(cache) + len(fresh) > 300_000:
-                cache.clear()
-                fresh = set(tokens)
-            for t in fresh:
-                cache[t] = self.emission(t)
-        adds = list(map(cache.__getitem__, tokens))
-        places = [i for i, e in enumerate(adds) if e is not None]
-        if not places:
-            return len(tokens), places, np.zeros(0)
-        return len(tokens), places, self.marginals(places, [adds[i] for i in places], len(tokens))
+        tokens, n, memory, heads = _TOKEN.findall(text), PREFIXES[0], self.memory, self.heads
+        places, adds = [], []
+        for i in [i for i, t in enumerate(tokens) if t.lower()[:n] in heads]:
+            t = tokens[i]
+            if t not in memory:
+                if len(memory) >= 20_000:
+                    memory.clear()
+                memory[t] = self.emission(t)
+            if memory[t] is not None:
+                places.append(i)
+                adds.append(memory[t])
+        return len(tokens), places, self.marginals(places, adds, len(tokens)) if places else np.zeros(0)
 
     def score(self, text: str) -> float:
         """The document's probability from its tagged tokens (marginal of 0.5 or more); without
@@ -161,32 +157,29 @@ def totals(n: int, expected: float) -> tuple[float, float, float]:
     return 1.0, log1p(expected), log1p(1000 * expected / max(n, 1))
 
 
-#: What this worker knows of tokens, by field.
-_CACHES: dict[str, dict[str, float | None]] = {}
-
-
-def feature_counts(rows: DataFrame, most: int = 500_000) -> DataFrame:
+def feature_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """feature, toxic (array: groups with the feature at least TIMES times), clean (likewise), of
     rows (grp, toxic, text). A group's copies count as one with the largest number of each.
 
-    A task has whole groups and adds up what it sees; what it holds is passed on at `most` features.
+    A task has whole groups, of which a bounded sample has few rows, and adds up what it sees; what it
+    holds is passed on at `most` features.
     """
     width = len(TIMES)
 
     def run(batches):
-        found: dict[str, list[int]] = {}
-        open_key, held = None, Counter()
+        found: dict[str, int] = {}  # all counts of a feature in one number, 16 bits each
+        open_key, held, groups = None, Counter(), 0
 
         def close():
-            shift = 0 if open_key[1] else width
+            shift = 0 if open_key[1] else 16 * width
+            ones = [sum(1 << (16 * j + shift) for j, times in enumerate(TIMES) if n >= times) for n in range(max(TIMES) + 1)]
             for f, n in held.items():
-                counts = found.setdefault(f, [0] * (2 * width))
-                for j, times in enumerate(TIMES):
-                    counts[shift + j] += n >= times
+                found[f] = found.get(f, 0) + ones[min(n, len(ones) - 1)]
             held.clear()
 
         def passed():
-            out = pa.record_batch([pa.array(list(found)), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(2 * width))], ["feature", *(f"c{j}" for j in range(2 * width))])
+            counts = [pa.array([v >> 16 * j & 0xFFFF for v in found.values()], pa.int64()) for j in range(2 * width)]
+            out = pa.record_batch([pa.array(list(found)), *counts], ["feature", *(f"c{j}" for j in range(2 * width))])
             found.clear()
             return out
 
@@ -195,9 +188,10 @@ def feature_counts(rows: DataFrame, most: int = 500_000) -> DataFrame:
                 if key != open_key:
                     if open_key is not None:
                         close()
-                    open_key = key
-                    if len(found) >= most:
+                    open_key, groups = key, groups + 1
+                    if len(found) >= most or groups >= 0xFFFF:
                         yield passed()
+                        groups = 1
                 own: Counter = Counter()
                 for token, n in Counter(_TOKEN.findall(text)).items():
                     for f in token_features(token):

@@ -12,9 +12,16 @@ from pyspark.sql import SparkSession
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
+#: Rows of an Arrow batch between the JVM and Python workers; Spark's own default holds long texts by the ten thousand.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the files that workers import from; once per application."""
+    """Adds the package to the files that workers import from, once per application, and makes Arrow
+    batches smaller unless the session says how large they are to be."""
     context = spark.sparkContext
+    if not spark._jsparkSession.sessionState().conf().contains(ARROW_ROWS[0]):
+        spark.conf.set(*ARROW_ROWS)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent

@@ -31,6 +31,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 TIMES = (1, 2, 3)
 #: The least share of toxic ones among the documents that a mark stands in.
 LEAST_SHARE = 0.7
+#: Rows of a group of near copies that one task counts; larger groups are counted in parts.
+GROUP_ROWS = 64
 #: Plain tokens that a mark is learnt with on either side, and the longest piece of a text to learn from at a time.
 AROUND, SPAN = 6, 32
 #: The marginal that tags a token.
@@ -158,18 +160,27 @@ def totals(n: int, expected: float) -> tuple[float, float, float]:
 
 
 def feature_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """feature, toxic (array: groups with the feature at least TIMES times), clean (likewise), of
-    rows (grp, toxic, text). A group's copies count as one with the largest number of each.
+    """feature, and c0, c1, ...: the toxic groups, then the clean ones, that have it at least TIMES times,
+    of rows (grp, toxic, text). A group's copies count as one with the largest number of each.
 
-    A task has whole groups, of which a bounded sample has few rows, and adds up what it sees; what it
-    holds is passed on at `most` features.
+    A task has whole groups and adds up what it sees; what it holds is passed on at `most` features. Of
+    groups in several parts (column part, null for others) a task has a part, and passes on how often it
+    has each feature; the largest of a group's parts counts.
     """
     width = len(TIMES)
+    rows = rows if "part" in rows.columns else rows.withColumn("part", F.lit(None).cast("int"))
 
     def run(batches):
         found: dict[str, int] = {}  # all counts of a feature in one number, 16 bits each
         open_key, held, groups = None, Counter(), 0
 
+        def of_part():
+            grp, toxic, _ = open_key
+            columns = [pa.array(list(held), pa.string()), pa.array([grp] * len(held), pa.int32()), pa.array([toxic] * len(held), pa.int32()), pa.array(list(held.values()), pa.int64())]
+            out = pa.record_batch([*columns, *[pa.nulls(len(held), pa.int64())] * (2 * width)], names)
+            held.clear()
+            return out
+
         def close():
             shift = 0 if open_key[1] else 16 * width
             ones = [sum(1 << (16 * j + shift) for j, times in enumerate(TIMES) if n >= times) for n in range(max(TIMES) + 1)]
@@ -179,14 +190,18 @@ def feature_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
 
         def passed():
             counts = [pa.array([v >> 16 * j & 0xFFFF for v in found.values()], pa.int64()) for j in range(2 * width)]
-            out = pa.record_batch([pa.array(list(found)), *counts], ["feature", *(f"c{j}" for j in range(2 * width))])
+            empty = [pa.nulls(len(found), k) for k in (pa.int32(), pa.int32(), pa.int64())]
+            out = pa.record_batch([pa.array(list(found), pa.string()), *empty, *counts], names)
             found.clear()
             return out
 
         for batch in small_batches(batches):
-            for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+            *key_columns, texts = (c.to_pylist() for c in batch.columns)
+            for key, text in zip(zip(*key_columns, strict=True), texts, strict=True):
                 if key != open_key:
-                    if open_key is not None:
+                    if open_key is not None and open_key[2] is not None:
+                        yield of_part()
+                    elif open_key is not None:
                         close()
                     open_key, groups = key, groups + 1
                     if len(found) >= most or groups >= 0xFFFF:
@@ -197,14 +212,20 @@ def feature_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
                     for f in token_features(token):
                         own[f] += n
                 held |= own  # the larger number of each
-        if open_key is not None:
+        if open_key is not None and open_key[2] is not None:
+            yield of_part()
+        elif open_key is not None:
             close()
         if found:
             yield passed()
 
-    ordered = rows.select("grp", "toxic", "text").repartition("grp").sortWithinPartitions("grp", "toxic")
-    partial = ordered.mapInArrow(run, "feature string, " + ", ".join(f"c{j} long" for j in range(2 * width)))
-    return partial.groupBy("feature").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(2 * width)))
+    names = ["feature", "grp", "toxic", "n", *(f"c{j}" for j in range(2 * width))]
+    ordered = rows.select("grp", "toxic", "part", "text").repartition("grp", "part").sortWithinPartitions("grp", "toxic", "part")
+    seen = written(ordered.mapInArrow(run, "feature string, grp int, toxic int, n long, " + ", ".join(f"{c} long" for c in names[4:])), "toxicity-seen")
+    split = seen.where("grp is not null").groupBy("feature", "grp", "toxic").agg(F.max("n").alias("n"))
+    split = split.select("feature", *(((F.col("toxic") == t) & (F.col("n") >= times)).cast("long").alias(names[4 + width * (1 - t) + j]) for t in (1, 0) for j, times in enumerate(TIMES)))
+    every = seen.where("grp is null").select("feature", *names[4:]).unionByName(split)
+    return every.groupBy("feature").agg(*(F.sum(c).alias(c) for c in names[4:]))
 
 
 def sure_features(counts: DataFrame, base: float) -> list[str]:
@@ -400,8 +421,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     group_of = dict(zip(hashes, copy_groups(list(hashes.values())), strict=True))
     sizes = Counter((group_of[d], t) for d, t in chosen)
     witnesses = Counter(t for _, t in sizes)
-    known = [(d, t, group_of[d], 1 / sizes[group_of[d], t]) for d, t in chosen]
-    rows = written(texts.join(F.broadcast(spark.createDataFrame(known, "doc_id long, toxic int, grp int, share double")), "doc_id"), "toxicity-rows")
+    parts = {key: -(-n // GROUP_ROWS) for key, n in sizes.items()}
+    known = [(d, t, group_of[d], 1 / sizes[group_of[d], t], i % parts[group_of[d], t] if parts[group_of[d], t] > 1 else None) for i, (d, t) in enumerate(chosen)]
+    rows = written(texts.join(F.broadcast(spark.createDataFrame(known, "doc_id long, toxic int, grp int, share double, part int")), "doc_id"), "toxicity-rows")
     features = sure_features(written(feature_counts(rows), "toxicity-features"), witnesses[1] / len(sizes))
     found = [(r.pattern, r.weight) for r in learnt_pieces(rows, features).collect()] if features else []
     if not found:

@@ -66,3 +66,13 @@ def test_pipeline_packs_what_the_stages_kept(spark, sf):
         docs = STAGES[name](spark, docs, sf).cache()
     want = Counter({(r.doc_id, r.doc_tokens): 1 for r in queries.packed(docs).collect()})
     assert Counter(set((r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, sf).collect())) == want
+
+
+def test_empty_tables_of_copies(odd):
+    from evenstep.llm import block_naming, simhash
+
+    none = odd.where("false")
+    assert block_naming.exact_duplicates(none).columns[:5] == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert not block_naming.exact_duplicates(none).collect()
+    assert simhash.near_duplicates(none).columns == ["doc_id", "fingerprint", "component_id"]
+    assert not simhash.near_duplicates(none).collect() and not simhash.survivors(none).collect()

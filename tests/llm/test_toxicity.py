@@ -46,6 +46,9 @@ def test_feature_counts(spark):
     df = spark.createDataFrame([(*r, 0) for r in rows], "grp int, toxic int, text string, feature int")
     for limit in (3, 500_000):
         assert {r.feature: list(r)[1:] for r in toxicity.feature_counts(df, limit).collect()} == want
+    # some groups in parts
+    parted = spark.createDataFrame([(*r, i % 3 if r[0] % 2 else None) for i, r in enumerate(rows)], "grp int, toxic int, text string, part int")
+    assert {r.feature: list(r)[1:] for r in toxicity.feature_counts(parted, 3).collect()} == want
 
 
 def test_beyond_doubt(spark):

@@ -82,6 +82,17 @@ def test_gcd(spark):
     assert [int(r.d) for r in rows] == [d for _, _, d in pairs]
 
 
+def test_gcd_goes_by_batches(spark):
+    """Once for each row, without rounds that Spark interprets row by row; null gives null."""
+    pairs = [(a * 1234567891 % (1 << 62) * (-1) ** a, b * 987654321 % (1 << 61)) for a in range(120) for b in range(120)]
+    df = spark.createDataFrame([*pairs, (None, 6), (6, None), (None, None)], "a long, b long")
+    made = df.select("a", "b", P.gcd_column(F.col("a"), F.col("b")).alias("d"))
+    assert {(r.a, r.b): r.d for r in made.collect()} == {(a, b): None if a is None or b is None else P.gcd(a, b) for a, b in [*pairs, (None, 6), (6, None), (None, None)]}
+    for frame in (made, df.select(P.normalize(P.poly(0, F.col("a"), F.col("b"))).alias("p")).select("p.c1", "p.c2")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count("_gcds(") == plan.count("ArrowEvalPython") == 1
+
+
 def test_overflow_is_an_error(spark):
     df = spark.createDataFrame([((0, MOST, 0),)], f"p {P.POLY}")
     with pytest.raises(Exception, match="OVERFLOW"):
